@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op7_streaming_bpe
 from .mixing import OP6_SQL, op6_poisson_mix
 from .slots import op2_virtual_slots
 from .topk import OP9_SQL, op9_exact_top_k
@@ -14,6 +15,7 @@ from .urls import OP8_SQL, op8_url_expressions
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_virtual_slots": op2_virtual_slots,
     "op6_poisson_mix": op6_poisson_mix,
+    "op7_streaming_bpe": op7_streaming_bpe,
     "op8_url_expressions": op8_url_expressions,
     "op9_exact_top_k": op9_exact_top_k,
 }
