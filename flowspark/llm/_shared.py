@@ -58,3 +58,18 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread
 
 def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+
+
+#: A small side of up to so many rows is broadcast; a larger one joins by salted shuffle.
+BROADCAST_ROWS = 10_000
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column) -> DataFrame:
+    """Inner, null-safe join of ``left`` with a table of one row per key, which has been written already."""
+    if right.count() > BROADCAST_ROWS:
+        return salted_lookup(left, right, keys, spread, "inner")
+    named = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(F.broadcast(named), on).drop(*[f"__r_{k}" for k in keys])

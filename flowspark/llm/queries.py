@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_streaming_bpe
+from .minhash import op3_weighted_minhash
 from .mixing import OP6_SQL, op6_poisson_mix
+from .quality import op4_robust_outliers
 from .slots import op2_virtual_slots
 from .topk import OP9_SQL, op9_exact_top_k
 from .urls import OP8_SQL, op8_url_expressions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_virtual_slots": op2_virtual_slots,
+    "op3_weighted_minhash": op3_weighted_minhash,
+    "op4_robust_outliers": op4_robust_outliers,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_streaming_bpe": op7_streaming_bpe,
     "op8_url_expressions": op8_url_expressions,
