@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE, table, text_bytes, written
+from ._shared import table, text_bytes, written
+from ._words import BASE, U64, Words, in_batches, mix
 from .graph import components
 
 SHINGLE = 5
@@ -38,60 +39,25 @@ BUCKET_CHUNK = 4000
 #: Losing documents up to this number are sent to all executors, to filter without moving texts.
 BROADCAST_LOSERS = 1_000_000
 
-U64 = np.uint64
 HASH_BITS = 48
-_SPACE = np.zeros(256, bool)
-_SPACE[list(ASCII_SPACE.encode())] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
-    return h ^ (h >> U64(31))
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2 ** 64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, x in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, x, U64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=U64)
-    return _POWERS["up"], _POWERS["down"]
 
 
 def _some_shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    up, down = _powers(len(data) + 1)
-    space = _SPACE[data]
-    inner = ~space
-    before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
-    starts = np.flatnonzero(inner & before)
-    ends = np.flatnonzero(space & ~before)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    words = _mix((sums[ends] - sums[starts]) * down[starts])
-    limits = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    first = np.searchsorted(starts, limits)
+    cut = Words(texts)
+    words, first = cut.hashes(), cut.first
     n = len(words)
-    factors = [pow(_BASE, 2 * i + 3, 1 << 64) for i in range(size)]
+    factors = [pow(BASE, 2 * i + 3, 1 << 64) for i in range(size)]
     rolled = np.zeros(max(0, n - size + 1), U64)
     for i, f in enumerate(factors):
         rolled += words[i : i + len(rolled)] * U64(f)
-    rolled = _mix(rolled) >> U64(64 - HASH_BITS)
+    rolled = mix(rolled) >> U64(64 - HASH_BITS)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= size:
             out.append(rolled[a : b - size + 1])
         elif b > a:  # a text of fewer words is one shingle
             whole = sum((int(w) * f for w, f in zip(words[a:b], factors, strict=False)), 0) & ((1 << 64) - 1)
-            out.append(_mix(np.array([whole], U64)) >> U64(64 - HASH_BITS))
+            out.append(mix(np.array([whole], U64)) >> U64(64 - HASH_BITS))
         else:
             out.append(np.zeros(0, U64))
     return out
@@ -100,22 +66,8 @@ def _some_shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
 def shingles(texts: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct shingle hashes of each text, and how often each occurs."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    batch: list[bytes] = []
-    held = 0
-
-    def flush():
-        for h in _some_shingles(batch, size) if batch else ():
-            out.append(np.unique(h, return_counts=True))
-        batch.clear()
-
-    for t in texts:
-        data = t.encode()
-        batch.append(data)
-        held += len(data) + 1
-        if held >= 1 << 19:
-            flush()
-            held = 0
-    flush()
+    for batch in in_batches(texts):
+        out += [np.unique(h, return_counts=True) for h in _some_shingles(batch, size)]
     return out
 
 
@@ -202,10 +154,10 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> n
     gamma, log_c, beta = _variates()
     log_w = np.log(weights)
     sizes = np.diff(np.append(starts, len(hashes)))
-    base = _mix(hashes + U64(1))
+    base = mix(hashes + U64(1))
     out = np.empty((len(starts), SAMPLES), U64)
     for k, m in enumerate(_multipliers()):
-        x = _mix(base * m)
+        x = mix(base * m)
         i, j, u = (x >> U64(48)).astype(np.intp), ((x >> U64(32)) & U64(0xFFFF)).astype(np.intp), ((x >> U64(16)) & U64(0xFFFF)).astype(np.intp)
         r, b = gamma[i], beta[u]
         t = np.floor(log_w / r + b)
@@ -213,7 +165,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> n
         least = np.repeat(np.minimum.reduceat(log_a, starts), sizes)
         at = np.flatnonzero(log_a == least)
         at = at[np.searchsorted(at, starts)]
-        out[:, k] = _mix(hashes[at] ^ (t[at].astype(np.int64).view(U64) << U64(HASH_BITS)))
+        out[:, k] = mix(hashes[at] ^ (t[at].astype(np.int64).view(U64) << U64(HASH_BITS)))
     return out
 
 
@@ -259,7 +211,7 @@ def _sketch(n_docs: int, n_ranges: int):
                 banded = samples.reshape(len(samples), BANDS, ROWS)
                 keys = np.zeros(banded.shape[:2], U64)
                 for i in range(ROWS):
-                    keys = _mix(keys * U64(_BASE) + banded[:, :, i])
+                    keys = mix(keys * U64(BASE) + banded[:, :, i])
                 columns["bands"] = list(keys.view(np.int64))
         kinds = (pa.string(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         return pa.table({n: pa.array(x, k) for (n, x), k in zip(columns.items(), kinds, strict=True)})
