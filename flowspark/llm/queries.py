@@ -14,9 +14,11 @@ from .quality import op4_robust_outliers
 from .slots import op2_virtual_slots
 from .topk import OP9_SQL, op9_exact_top_k
 from .urls import OP8_SQL, op8_url_expressions
+from .warc import op1_warc_transactions
 from .weak_labels import op10_weak_label_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_transactions": op1_warc_transactions,
     "op2_virtual_slots": op2_virtual_slots,
     "op3_weighted_minhash": op3_weighted_minhash,
     "op4_robust_outliers": op4_robust_outliers,
