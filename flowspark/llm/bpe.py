@@ -15,6 +15,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -289,8 +290,9 @@ class Codec:
         d = StreamDecoder(self.model)
         return "".join(d.feed(ids)) + d.finish()
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the text that they decode to."""
+    def digests(self, text: str, gather: list[str] | None = None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the text that they decode to. ``gather`` gets
+        the ids, joined by spaces, piece by piece."""
         n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
         joiner = "" if self.model.byte_level_decoder else " "
         sep = False
@@ -299,6 +301,8 @@ class Codec:
                 continue
             ids = " ".join(part)
             n += ids.count(" ") + 1
+            if gather is not None:
+                gather.append(ids)
             decoded = joiner.join([self.text_of[p] for p in part]) if joiner else None
             if sep:
                 ids_sha.update(b" ")
@@ -347,9 +351,10 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             rows, all_ids = [], []
             for i in range(len(texts)):
                 t = texts[i].as_py() or ""
-                rows.append(codec.digests(t))
+                gathered: list[str] | None = [] if ids else None
+                rows.append(codec.digests(t, gathered))
                 if ids:
-                    all_ids.append(codec.encode(t))
+                    all_ids.append(np.fromstring(" ".join(gathered), np.int32, sep=" "))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]

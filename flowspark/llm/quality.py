@@ -8,7 +8,7 @@ step is one pass that sums moments per group and distance bin, so no group has t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ MIN_GROUP = 200
 #: Transformed statistics, with the least standard deviation that each is taken to have: a scatter matrix of a group
 #: without any symbols or repeats would be singular.
 FLOORS = {"x_word": 0.10, "x_symbol": 0.08, "x_line": 0.15, "x_repeat": 0.15, "x_capital": 0.12}
+OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "base_failed", "d2", "kept")
 #: Largest squared distance that is kept, and the median of the squared distance, for five normal variables.
 CUTOFF = 35.0
 MEDIAN_D2 = 4.35
@@ -204,18 +205,21 @@ def _concentrate(points: DataFrame, params: DataFrame, names: list[str], spread:
     )
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per row of ``docs``: key, language, source, base statistics, ``base_failed``, ``d2`` and ``kept``.
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """Per row of ``docs``: key, language, source, base statistics, ``base_failed``, ``d2``, ``kept`` and the columns
+    ``carry``, which may be the text.
 
     ``kept`` is false for rows that fail the base rules, else whether the squared robust distance ``d2`` is at most
     CUTOFF; it is scaled so that each group's median is no larger than that of normal data. Rows that fail the base
     rules take no part in the estimates and have a null ``d2``.
 
     A null or empty text has no words and fails. Null languages and sources are values of their own. Repeated rows
-    count each time. Only the four named columns are read. An empty table gives an empty result.
+    count each time. Other columns of ``docs`` aren't read. An empty table gives an empty result.
     """
     names = list(FLOORS)
-    stats = written(vectors(statistics(docs.select(key, text, lang, source), text)))
+    carried = [c for c in carry if c not in (key, lang, source)]
+    own = [F.col(c).alias(f"__carried_{c}") for c in carried]
+    stats = written(vectors(statistics(docs.select(key, text, lang, source, *own), text)))
     good = stats.filter(~F.col("base_failed"))
     groups = written(_groups(good, lang, source))
     spread = F.xxhash64(key, *names)
@@ -236,7 +240,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     verdict = judged.select(*stats.columns, (F.col("d2") / F.col("scale")).alias("d2")).withColumn("kept", F.col("d2") <= CUTOFF)
     failed = stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     return verdict.unionByName(failed).select(
-        key, lang, source, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "base_failed", "d2", "kept"
+        key, lang, source, *[F.col(f"__carried_{c}").alias(c) for c in carried if c not in OUTPUT], *OUTPUT
     )
 
 
