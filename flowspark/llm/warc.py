@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import SALTS, shared_folder, table, written
+from ._shared import SALTS, salted_lookup, shared_folder, table, written
 
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of at least so many bytes are stored once, and revisited by equal ones.
 REVISIT_BYTES = 0
+#: Up to so many revisits are sent to all executors, and payloads stay where they are read.
+BROADCAST_REVISITS = 200_000
 #: Captures in an archive file at most.
 FILE_CAPTURES = 5000
 #: Bytes of payload that the reader gathers before it hands records on.
@@ -58,14 +60,23 @@ def plan_captures(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
     """``page_id, url, payload, digest, copy, top, is_revisit``: which captures are stored and which revisit another.
 
     Of captures with equal payloads of at least ``revisit_bytes`` bytes, that with the largest id is stored, of
-    repeated rows the first; ``top`` is that id. Ids that are null are the least. Groups of copies are dealt over
-    ``SALTS`` tasks, and their largest ids found by partial aggregation.
+    repeated rows the first; ``top`` is that id. Ids that are null are the least. Largest ids are found by partial
+    aggregation over ids and digests alone, and groups of copies are dealt over ``SALTS`` tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     named = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(F.encode(payload, "UTF-8")).alias("digest"))
     small = F.octet_length("payload") < revisit_bytes
-    tops = named.filter(~small).groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    dealt = written(tops).select(F.col("digest").alias("__d"), "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
+    ids = written(named.select("page_id", "digest", small.alias("small")).groupBy("page_id", "digest", "small").agg(F.count(F.lit(1)).alias("n")))
+    tops = ids.filter("not small").groupBy("digest").agg(F.max("page_id").alias("top"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    tops = written(tops)
+    if ids.filter("n > 1").isEmpty():
+        revisits = salted_lookup(ids.filter("not small").drop("n"), tops, ["digest"], F.col("page_id"), "inner")
+        revisits = written(revisits.filter(~F.col("page_id").eqNullSafe(F.col("top"))).select(F.col("page_id").alias("__p"), F.col("digest").alias("__d"), "top"))
+        if revisits.count() <= BROADCAST_REVISITS:
+            marked = named.join(F.broadcast(revisits), F.col("page_id").eqNullSafe(F.col("__p")) & (F.col("digest") == F.col("__d")), "left")
+            return marked.select("page_id", "url", "payload", "digest", F.lit(1).alias("copy"), "top", F.col("__d").isNotNull().alias("is_revisit"))
+    # Repeated rows have to be told apart, or the revisits are many: payloads move to their group's tasks.
+    dealt = tops.select(F.col("digest").alias("__d"), "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
     salted = named.withColumn("__salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(dealt, (F.col("digest") == F.col("__d")) & (F.col("__salt") == F.col("__s")), "left")
     same = Window.partitionBy("digest", "__salt", "page_id").orderBy("url")
