@@ -80,6 +80,18 @@ class Scope:
     def test(self, e: A.Expr) -> Column:
         return truthy(self.compile(e))
 
+    def predicate(self, e: A.Expr) -> Column:
+        """A test for a filter, where null is as good as false: plain comparisons, which sources can push down."""
+        if isinstance(e, A.Binary) and e.op in ("&&", "||"):
+            a, b = self.predicate(e.left), self.predicate(e.right)
+            return a & b if e.op == "&&" else a | b
+        v = self.compile(e)
+        if isinstance(e, A.Binary) and e.op == "==":
+            sides = [self.compile(x) for x in (e.left, e.right)]
+            if any(x.literal is not None for x in sides) and all(x.numeric for x in sides) or type(sides[0].type) is type(sides[1].type) and any(x.literal is not None for x in sides):
+                return sides[0].col == sides[1].col
+        return v.col if v.boolean else truthy(v)
+
     def _lit(self, e: A.Lit) -> Value:
         return self.literal(e.value)
 

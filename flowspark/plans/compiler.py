@@ -32,7 +32,7 @@ class Context:
 
 
 def where(rel: Rel, op: A.Where, context: Context) -> Rel:
-    return rel.with_df(rel.df.filter(context.scope(rel).test(op.test)))
+    return rel.with_df(rel.df.filter(context.scope(rel).predicate(op.test)))
 
 
 def select(rel: Rel, op: A.Select, context: Context) -> Rel:
