@@ -32,10 +32,10 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: Share of equal samples from which a pair's vectors are compared; five standard deviations below THRESHOLD.
 LEAST_AGREEMENT = 0.55
-#: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text in a block, and those whose shingles a range's task counts: there are as many ranges as keep it so.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 64 << 20
 #: Members of a band's bucket that are compared with each other in one task.
-BUCKET_CHUNK = 4000
+BUCKET_CHUNK = 1024
 #: Losing documents up to this number are sent to all executors, to filter without moving texts.
 BROADCAST_LOSERS = 1_000_000
 
@@ -177,7 +177,7 @@ def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
 SKETCH = "node string, total double, hashes binary, weights binary, samples array<int>, bands array<long>"
 
 
-def _sketch(n_docs: int, n_ranges: int):
+def _sketch(n_docs: int):
     def sketch(docs: pa.Table, counts: pa.Table) -> pa.Table:
         columns: dict[str, list] = {n: [] for n in ("node", "total", "hashes", "weights", "samples", "bands")}
         if docs.num_rows:
@@ -223,13 +223,14 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """A written row for each distinct text that may have a near-duplicate: its id ``node`` (MD5), vector and samples."""
     spark = docs.sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(text_bytes(text)).alias("b")).first()
-    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size.b or 0) // BLOCK_BYTES), 1)
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks, n_ranges = (max(n_tasks, -(-(size.b or 0) // x), 1) for x in (BLOCK_BYTES, RANGE_BYTES))
     # Copies of a text have keys of their own and lie in several blocks, so no group of copies makes a block large.
     block = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text))), F.lit(n_blocks)).cast("int")
     blocks = docs.filter(F.col(text).isNotNull()).select(block.alias("block"), F.md5(text).alias("node"), F.col(text).alias("text"))
-    sent = blocks.groupBy("block").applyInArrow(_send_counts(n_blocks), "range int, block int, hashes binary, counts binary")
+    sent = blocks.groupBy("block").applyInArrow(_send_counts(n_ranges), "range int, block int, hashes binary, counts binary")
     returned = sent.groupBy("range").applyInArrow(_sum_counts, "block int, range int, df binary")
-    made = blocks.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(_sketch(size.n, n_blocks), SKETCH)
+    made = blocks.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(_sketch(size.n), SKETCH)
     return written(made.dropDuplicates(["node"]))
 
 
@@ -269,24 +270,51 @@ def _links(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame
     return written(both.mapInArrow(_verify(threshold), "a string, b string, similarity double"))
 
 
-def _unlike_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of a bucket's members, in different classes, whose samples agree often enough."""
-    nodes, labels = np.asarray(t.column("node").to_pylist(), object), np.asarray(t.column("label").to_pylist(), object)
-    sides = np.asarray(t.column("chunk"))
-    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-    samples = np.stack(t.column("samples").to_numpy())
-    left, right = np.flatnonzero(sides == lo), np.flatnonzero(sides == hi)
-    _, ids, sizes = np.unique(labels.astype(str), return_inverse=True, return_counts=True)
-    major = sizes.argmax()
-    a_out, b_out = [], []
-    # A pair in different classes has an end outside the largest class.
-    for mine, other in ((left, right), (right, left)) if lo != hi else ((left, right),):
-        for i in mine[ids[mine] != major]:
-            near = other[(ids[other] != ids[i])]
-            near = near[(samples[near] == samples[i]).sum(axis=1) >= LEAST_AGREEMENT * SAMPLES]
-            a_out += [min(nodes[i], nodes[j]) for j in near]
-            b_out += [max(nodes[i], nodes[j]) for j in near]
-    return pa.table({"a": pa.array(a_out, pa.string()), "b": pa.array(b_out, pa.string())})
+def _unlike_links(threshold: float):
+    """Links between members of a bucket that are in different classes, compared where they first share a band.
+
+    Classes grow as links are found, and members of one class aren't compared any more: a link for each class that
+    joins another is enough. Comparing one member with many adds up shared weight over the bucket's own shingles.
+    """
+
+    def find(t: pa.Table) -> pa.Table:
+        nodes = t.column("node").to_pylist()
+        _, classes, sizes = np.unique(np.asarray(t.column("label").to_pylist()), return_inverse=True, return_counts=True)
+        sides, band = np.asarray(t.column("chunk")), t.column("band")[0].as_py()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        samples, bands = np.stack(t.column("samples").to_numpy()), np.stack(t.column("bands").to_numpy())
+        totals = np.asarray(t.column("total"))
+        vectors = [unpack(x) for x in t.column("hashes").to_pylist()]
+        limits = np.cumsum([0, *map(len, vectors)])
+        shingle_count, places = np.unique(np.concatenate(vectors), return_inverse=True)
+        weights = np.concatenate([_unsqueeze(x, np.float64) for x in t.column("weights").to_pylist()])
+        dense = np.zeros(len(shingle_count))
+        left, right = np.flatnonzero(sides == lo), np.flatnonzero(sides == hi)
+        major = sizes.argmax()
+        found: dict[str, list] = {"a": [], "b": [], "similarity": []}
+        for mine, other in ((left, right), (right, left)) if lo != hi else ((left, right),):
+            for i in mine[classes[mine] != major]:  # a pair in different classes has an end outside the largest
+                near = other[classes[other] != classes[i]]
+                near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
+                near = near[(samples[near] == samples[i]).sum(axis=1) >= LEAST_AGREEMENT * SAMPLES]
+                if not len(near):
+                    continue
+                own = slice(limits[i], limits[i + 1])
+                dense[places[own]] = weights[own]
+                for j in near:
+                    if classes[j] == classes[i]:
+                        continue
+                    theirs = slice(limits[j], limits[j + 1])
+                    shared = np.minimum(dense[places[theirs]], weights[theirs]).sum()
+                    s = shared / (totals[i] + totals[j] - shared)
+                    if s >= threshold * (1 - 1e-9):
+                        for n, v in (("a", min(nodes[i], nodes[j])), ("b", max(nodes[i], nodes[j])), ("similarity", float(s))):
+                            found[n].append(v)
+                        classes[classes == classes[i]] = classes[j]
+                dense[places[own]] = 0
+        return pa.table({"a": pa.array(found["a"], pa.string()), "b": pa.array(found["b"], pa.string()), "similarity": pa.array(found["similarity"], pa.float64())})
+
+    return find
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -318,13 +346,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     mixed = labelled.groupBy("band", "value").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("size")).filter("l1 < l2")
     mixed = written(mixed.filter("size > 2").drop("l1", "l2"))
     chunks = F.ceil(F.col("size") / BUCKET_CHUNK).cast("int")
-    members = labelled.join(mixed, ["band", "value"]).join(sketched.select("node", "samples"), "node")
+    full = sketched.select("node", "total", "hashes", "weights", "samples", "bands")
+    members = labelled.join(mixed, ["band", "value"]).join(full, "node")
     members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    members = members.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    members = members.select("band", "value", "lo", "hi", "chunk", "node", "label", "samples")
-    rest = members.groupBy("band", "value", "lo", "hi").applyInArrow(_unlike_pairs, "a string, b string")
-    rest = written(rest.distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = _links(rest, sketched, threshold)
+    members = members.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "size")
+    more = written(members.groupBy("band", "value", "lo", "hi").applyInArrow(_unlike_links(threshold), "a string, b string, similarity double"))
     if not more.isEmpty():
         labels = components(links.unionByName(more).select("a", "b"))
     labels = written(labels)
