@@ -11,6 +11,7 @@ from .licenses import OP5_SQL, op5_license_sentences
 from .minhash import op3_weighted_minhash
 from .mixing import OP6_SQL, op6_poisson_mix
 from .quality import op4_robust_outliers
+from .quality_sql import OP4_SQL
 from .slots import op2_virtual_slots
 from .topk import OP9_SQL, op9_exact_top_k
 from .urls import OP8_SQL, op8_url_expressions
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_weak_label_quality": op10_weak_label_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_license_sentences": OP5_SQL, "op6_poisson_mix": OP6_SQL, "op8_url_expressions": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_robust_outliers": OP4_SQL, "op5_license_sentences": OP5_SQL, "op6_poisson_mix": OP6_SQL, "op8_url_expressions": OP8_SQL, "op9_exact_top_k": OP9_SQL}
