@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ ORDERS = {"events": ["ts", "event_id"], "conversations": ["conv_id", "turn"], "o
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "conversations")
 
 
-def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
-    e = Engine(spark, **options)
-    for name in TABLES:
+def engine(spark: SparkSession, sf_dir: str, script: str = "events") -> Engine:
+    """An engine with the tables that ``script`` names; each costs a look at its files."""
+    e = Engine(spark)
+    for name in sorted(set(TABLES) & set(re.findall(r"\w+", script))):
         e.register_stream(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), ORDERS.get(name))
     return e
 
@@ -30,7 +32,7 @@ def register(name: str, pipeline: str, sql: str, setup: str = "", rounded: dict[
     """A query from a pipeline; ``setup`` runs first, ``rounded`` names columns of doubles and their digits."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir)
+        e = engine(spark, sf_dir, f"{setup} {pipeline}")
         for r in e.run_script(setup):
             if not r.success:
                 raise ValueError(r.message)
