@@ -69,7 +69,13 @@ class Ordered:
     def _earlier(self, per_bucket: DataFrame, value: str) -> DataFrame:
         """Sums of ``value`` over earlier buckets; one row per bucket, at most MAX_BUCKETS + 1."""
         w = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        return per_bucket.select(BUCKET, F.coalesce(F.sum(value).over(w), F.lit(0)).alias("__before"))
+        return per_bucket.select(F.col(BUCKET).alias("__b"), F.coalesce(F.sum(value).over(w), F.lit(0)).alias("__before"))
+
+    @staticmethod
+    def _joined(df: DataFrame, per_bucket: DataFrame) -> DataFrame:
+        """Rows with their bucket's row. Buckets are never null; the null-safe test keeps the optimiser from carrying
+        the bucket's own expression over to the other side, whose columns can't evaluate it."""
+        return df.join(F.broadcast(per_bucket), F.col(BUCKET).eqNullSafe(F.col("__b"))).drop("__b")
 
     def index(self, name: str) -> Ordered:
         """Adds the row's place, from 0."""
@@ -82,7 +88,7 @@ class Ordered:
         kind = df.schema["__v"].dataType
         here = F.sum("__v").over(self.inside.rowsBetween(Window.unboundedPreceding, 0))
         df = df.withColumn(name, here if inclusive else here - F.coalesce(F.col("__v"), F.lit(0).cast(kind)))
-        df = df.join(F.broadcast(self._earlier(totals, "__t")), BUCKET)
+        df = self._joined(df, self._earlier(totals, "__t"))
         self.df = df.withColumn(name, (F.coalesce(F.col(name), F.lit(0)) + F.col("__before")).cast("double" if isinstance(kind, (T.DoubleType, T.FloatType)) else "long")).drop("__v", "__before")
         return self
 
@@ -90,7 +96,7 @@ class Ordered:
         """Adds ``value`` of the row before as a struct ``name.v``; the struct is null for the first row of all."""
         df = self.df.withColumn("__s", F.struct(value.alias("v")))
         last = df.groupBy(BUCKET).agg(F.max_by("__s", F.struct(*self.keys)).alias("__l"))
-        before = last.select(BUCKET, F.lag("__l").over(Window.orderBy(BUCKET)).alias("__lagged"))
-        df = df.withColumn(name, F.lag("__s").over(self.inside)).join(F.broadcast(before), BUCKET)
+        before = last.select(F.col(BUCKET).alias("__b"), F.lag("__l").over(Window.orderBy(BUCKET)).alias("__lagged"))
+        df = self._joined(df.withColumn(name, F.lag("__s").over(self.inside)), before)
         self.df = df.withColumn(name, F.coalesce(name, "__lagged")).drop("__s", "__lagged")
         return self

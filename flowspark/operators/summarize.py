@@ -15,7 +15,7 @@ from ..functions.scalar import Value, number
 from ..lang import ast as A
 from . import windows
 from .expressions import Scope
-from .rel import BUCKET, ORDER, Ordered, Rel
+from .rel import ORDER, Ordered, Rel
 
 #: An ``every`` interval from here on counts milliseconds, below it rows.
 CLOCK_INTERVAL = 100
@@ -250,21 +250,22 @@ def _epochs(rel: Rel, op: A.Summarize, scope: Scope, key_names: list[str]) -> Da
         return df.withColumns({"__hit": (i + 1) % n == 0, "__e": F.floor(i / n).cast("long")})
     if emit.kind == "every":
         step = scope.compile(emit.interval).literal
-        df = Ordered(rel.with_df(rel.df.withColumn("__x", number(scope.compile(emit.value)).col.cast("double")))).index("__i").df
-        line = df.select(F.col("__i").alias("i"), F.col("__x").alias("v")).repartition(1).sortWithinPartitions("i")
-        hits = line.mapInArrow(greedy_triggers(step), "__j long, hit boolean")
-        marked = df.join(hits, F.col("__i") == F.col("__j")).drop("__j", "__x")
-        hit = F.col("hit")
-    elif emit.kind == "when":
-        marked, hit = rel.df, scope.test(emit.value)
-    elif emit.kind == "update":
-        marked, hit = rel.df, F.lit(True)
+        ordered = Ordered(rel.with_df(rel.df.withColumn("__x", number(scope.compile(emit.value)).col.cast("double")))).index("__i")
+        line = ordered.df.select(F.col("__i").alias("i"), F.col("__x").alias("v")).repartition(1).sortWithinPartitions("i")
+        hits = line.mapInArrow(greedy_triggers(step), "__j long, __hit boolean")
+        ordered.df = ordered.df.join(hits, F.col("__i") == F.col("__j")).drop("__j", "__x")
     else:
-        value = scope.compile(emit.value).col if emit.kind == "change" else F.struct(*key_names) if key_names else F.lit(0)
-        marked = Ordered(rel).lag("__p", value).df
-        hit = F.col("__p").isNull() | ~value.eqNullSafe(F.col("__p.v"))
-    marked = marked.withColumn("__hit", hit).drop(BUCKET, "__p", "hit")
-    return Ordered(rel.with_df(marked)).running("__e", F.col("__hit").cast("long"), inclusive=False).df
+        ordered = Ordered(rel)
+        if emit.kind == "when":
+            hit = scope.test(emit.value)
+        elif emit.kind == "update":
+            hit = F.lit(True)
+        else:
+            value = scope.compile(emit.value).col if emit.kind == "change" else F.struct(*key_names) if key_names else F.lit(0)
+            ordered = ordered.lag("__p", value)
+            hit = F.col("__p").isNull() | ~value.eqNullSafe(F.col("__p.v"))
+        ordered.df = ordered.df.withColumn("__hit", hit)
+    return ordered.running("__e", F.col("__hit").cast("long"), inclusive=False).df
 
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
