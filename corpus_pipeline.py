@@ -9,7 +9,7 @@ from flowspark.llm._shared import table, written
 from flowspark.llm.bpe import encode_documents
 from flowspark.llm.minhash import keep_one
 from flowspark.llm.mixing import TARGET_WEIGHTS, replicate
-from flowspark.llm.quality import quality_rules
+from flowspark.llm.quality import keep_by_rules
 from flowspark.llm.weak_labels import classify
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or lie far from their language and source."""
-    return quality_rules(docs, carry=COLUMNS).filter("kept").select(*COLUMNS)
+    return keep_by_rules(docs.select(*COLUMNS))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

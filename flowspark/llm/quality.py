@@ -33,6 +33,8 @@ OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Largest squared distance that is kept, and the median of the squared distance, for five normal variables.
 CUTOFF = 35.0
 MEDIAN_D2 = 4.35
+#: Rejected documents up to this number are sent to all executors, to filter without moving texts.
+BROADCAST_REJECTED = 300_000
 #: Distance bins in an octave of the squared distance; bins in a unit of a statistic.
 OCTAVE, UNIT = 16, 512
 
@@ -244,6 +246,22 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     )
 
 
+def keep_by_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps.
+
+    Rejected rows are named by key, language, source and the text's MD5, which decide the verdict, so repeated rows go
+    or stay together. Up to BROADCAST_REJECTED of them are sent to all executors, and texts stay where they are read.
+    """
+    names = {"__key": key, "__lang": lang, "__source": source}
+    judged = quality_rules(docs.withColumn("__text_md5", F.md5(text)), key, text, lang, source, carry=("__text_md5",))
+    rejected = judged.filter(~F.coalesce("kept", F.lit(False)))
+    rejected = written(rejected.select(*[F.col(c).alias(n) for n, c in names.items()], F.col("__text_md5").alias("__md5")).distinct())
+    on = F.md5(F.col(text)).eqNullSafe(F.col("__md5"))
+    for n, c in names.items():
+        on &= F.col(c).eqNullSafe(F.col(n))
+    return docs.join(F.broadcast(rejected) if rejected.count() <= BROADCAST_REJECTED else rejected, on, "left_anti")
+
+
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals", F.round("d2", 4).alias("d2"))
