@@ -27,11 +27,21 @@ STEPS = 4
 #: fewer, with all such.
 MIN_GROUP = 200
 #: Transformed statistics, with the least standard deviation that each is taken to have: a scatter matrix of a group
-#: without any symbols or repeats would be singular.
-FLOORS = {"x_word": 0.10, "x_symbol": 0.08, "x_line": 0.15, "x_repeat": 0.15, "x_capital": 0.12}
+#: without any symbols or repeats would be singular. It is the statistic's resolution, the deviation that counts of
+#: Poisson's law give in the smallest document that passes the base rules: MIN_WORDS words of 5 characters, 10 to a
+#: line. That is 1/sqrt(n) for the logarithm of a mean and 1/(2 sqrt(n)) for the root of a share of n. Repeated words
+#: come six at a time, two windows of three. Lines and repeats are so few that this exceeds 0.15, which is the most.
+FLOORS = {
+    "x_word": round((5 * MIN_WORDS) ** -0.5, 4),
+    "x_symbol": round((5 * MIN_WORDS) ** -0.5 / 2, 4),
+    "x_line": min(0.15, round((MIN_WORDS / 10) ** -0.5 / 2, 4)),
+    "x_repeat": min(0.15, round((MIN_WORDS / 6) ** -0.5 / 2, 4)),
+    "x_capital": round((5 * MIN_WORDS) ** -0.5 / 2, 4),
+}
 OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "base_failed", "d2", "kept")
-#: Largest squared distance that is kept, and the median of the squared distance, for five normal variables.
-CUTOFF = 35.0
+#: Largest squared distance that is kept, the 0.9999 quantile of chi-square with five degrees of freedom, and
+#: the median of the squared distance, for five normal variables.
+CUTOFF = 25.74
 MEDIAN_D2 = 4.35
 #: Rejected documents up to this number are sent to all executors, to filter without moving texts.
 BROADCAST_REJECTED = 300_000

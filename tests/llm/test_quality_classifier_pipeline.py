@@ -107,6 +107,16 @@ def test_outliers_like_plain_mcd(spark, monkeypatch):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_separated_words_are_rejected(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MIN_GROUP", 40)
+    rows = table()
+    kinds = {r[0]: r[5] for r in rows}
+    got = quality.quality_rules(spark.createDataFrame([(*r[:5], True, 1.0) for r in rows], DOCS)).collect()
+    pipes = [r for r in got if kinds[r.doc_id] == "pipes" and not r.base_failed]
+    assert len(pipes) >= 10 and not any(r.kept for r in pipes)
+    assert all(r.kept for r in got if kinds[r.doc_id] == "good")
+
+
 def test_salted_groups_agree(spark, monkeypatch):
     from flowspark.llm import _shared
 
