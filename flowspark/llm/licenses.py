@@ -95,11 +95,26 @@ def _sentences(text: Column) -> Column:
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
+def _pieces(sentence: str) -> list[str]:
+    """The normalised sentences into which ``_sentences`` cuts a known one."""
+    return [n for n in map(normal_form, re.sub(r"([.!?:])[ \t\r]+", "\\1\n", sentence).split("\n")) if n]
+
+
 def _sequence(sentences: Column) -> Column:
-    """The known sentences' identifiers in order, as ``<7><8>``; unknown ones between them are ``<?>``."""
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normal_form(s), f"<{i}>")])
-    marks = F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit("<?>")))
-    return F.regexp_replace(F.array_join(marks, ""), r"(?:<\?>)+", "<?>")
+    """The known sentences' identifiers in order, as ``<7><8>``; unknown ones between them are ``<?>``. A known sentence
+    that is itself cut is its pieces in sequence, which have marks ``<#1>`` of their own until then."""
+    pieces = {i: _pieces(s) for i, s in SENTENCES.items()}
+    known = {p[0]: f"<{i}>" for i, p in pieces.items() if len(p) == 1}
+    for p in pieces.values():
+        for x in p:
+            known.setdefault(x, f"<#{len(known)}>")
+    listed = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    out = F.array_join(F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(listed, s), F.lit("<?>"))), "")
+    for i, p in sorted(pieces.items(), key=lambda x: -len(x[1])):
+        if len(p) > 1:
+            out = F.replace(out, F.lit("".join(known[x] for x in p)), F.lit(f"<{i}>"))
+    # Two steps: a repeated alternative would overflow the stack on long texts.
+    return F.regexp_replace(F.regexp_replace(out, r"<#\d+>", "<?>"), r"(?:<\?>)+", "<?>")
 
 
 def _matched(sequence: Column, rules: Sequence[tuple[str, tuple[int, ...]]]) -> Column:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import textwrap
 
 from flowspark.llm import licenses, warc
 
@@ -80,6 +81,20 @@ def test_license_rules(spark):
     assert licenses.scan_licenses(df).count() == len(rows) and licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_every_sentence_and_rule_is_found(spark):
+    wrap = lambda s: "\n\n".join("\n".join(textwrap.wrap(p, 64, break_long_words=False, break_on_hyphens=False)) for p in s.split("\n\n"))
+    rows = [((i,), s) for i, s in licenses.SENTENCES.items()]
+    rows += [(ids, "\n\n".join(licenses.SENTENCES[i] for i in ids)) for _, ids in licenses.RULES]
+    texts = [(ids, text) for ids, s in rows for text in (s, wrap(s), f"Words before.\n\n{s}\n\nWords after.")]
+    texts.append(((), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. SPDX-License-Identifier: Zlib"))
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    named = {ids: name for name, ids in reversed(licenses.RULES)}
+    for k, (ids, text) in enumerate(texts):
+        assert got[k].sentence_ids == "".join(f"<{i}>" for i in ids) and got[k].n_known == len(ids), text
+        assert ids not in named or got[k].licenses == [named[ids]], text
+
+
 def test_every_known_sentence_holds_a_clue():
     for s in licenses.SENTENCES.values():
         assert any(c in s.lower() for c in licenses.CLUES), s
