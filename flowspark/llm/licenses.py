@@ -88,33 +88,37 @@ def normal_form(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(_UPPER, _LOWER))).strip(" ")
 
 
-def _sentences(text: Column) -> Column:
-    """Normalised sentences: the text is cut at line ends and after closing marks before white space."""
-    low = F.translate(text, _UPPER, _LOWER)
-    cut = F.split(F.regexp_replace(low, r"([.!?:])[ \t\r]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-
-
 def _pieces(sentence: str) -> list[str]:
-    """The normalised sentences into which ``_sentences`` cuts a known one."""
+    """The normalised sentences into which ``_marked`` cuts a known one."""
     return [n for n in map(normal_form, re.sub(r"([.!?:])[ \t\r]+", "\\1\n", sentence).split("\n")) if n]
 
 
-def _sequence(sentences: Column) -> Column:
-    """The known sentences' identifiers in order, as ``<7><8>``; unknown ones between them are ``<?>``. A known sentence
-    that is itself cut is its pieces in sequence, which have marks ``<#1>`` of their own until then."""
+def _marked(text: Column) -> Column:
+    """The text with words in lower case, apart by single spaces, ``H`` where a sentence ends and ``S`` at line ends where
+    it may go on. Sentences end after closing marks before white space and at blank lines. Numbers such as ``1)`` that
+    begin a line aren't part of it."""
+    out = F.translate(text, _UPPER, _LOWER)
+    out = F.regexp_replace(out, r"(?m)^[ \t]*\(?[0-9]{1,3}\)[ \t]+", "")
+    out = F.regexp_replace(out, r"[.!?:][ \t\r\n]+|\n[ \t\r]*\n", "H")
+    out = F.regexp_replace(F.translate(out, "\n", "S"), "[^a-z0-9HS]+", " ")
+    return F.regexp_replace(out, " *([HS]) *", "$1")
+
+
+def _sequence(text: Column) -> Column:
+    """The known sentences' identifiers in order, as ``<7><8>``; others between them are ``<?>``, save pieces without
+    letters, such as list numbers. A known sentence begins and ends where sentences or lines do and may run over several
+    lines; where several begin, the longest counts. Pieces of a known sentence are one match."""
     pieces = {i: _pieces(s) for i, s in SENTENCES.items()}
-    known = {p[0]: f"<{i}>" for i, p in pieces.items() if len(p) == 1}
-    for p in pieces.values():
-        for x in p:
-            known.setdefault(x, f"<#{len(known)}>")
-    listed = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    out = F.array_join(F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(listed, s), F.lit("<?>"))), "")
-    for i, p in sorted(pieces.items(), key=lambda x: -len(x[1])):
-        if len(p) > 1:
-            out = F.replace(out, F.lit("".join(known[x] for x in p)), F.lit(f"<{i}>"))
-    # Two steps: a repeated alternative would overflow the stack on long texts.
-    return F.regexp_replace(F.regexp_replace(out, r"<#\d+>", "<?>"), r"(?:<\?>)+", "<?>")
+    flat = {"H".join(p): f"<{i}>" for i, p in pieces.items()}
+    runs = sorted(pieces.values(), key=lambda p: -len(" ".join(p)))
+    patterns = ["[HS]*H[HS]*".join(x.replace(" ", "[ S]+") for x in p) for p in runs]
+    # Either side of a match is an end of the text, sentence or line.
+    pattern = f"(?<![^HS])(?:(?:{'|'.join(patterns)})(?![^HS])|[^HSa-z]*+[a-z][^HS]*+)"
+    tokens = F.regexp_extract_all(F.trim(_marked(text)), F.lit(pattern), F.lit(0))
+    listed = F.create_map(*[F.lit(x) for pair in flat.items() for x in pair])
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, "[HS]*H[HS]*", "H"), "[ S]+", " ")
+    marks = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(listed, plain(t)), F.lit("<?>")))
+    return F.regexp_replace(F.array_join(marks, ""), r"(?:<\?>)+", "<?>")
 
 
 def _matched(sequence: Column, rules: Sequence[tuple[str, tuple[int, ...]]]) -> Column:
@@ -135,8 +139,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
     """Per row of ``docs``: key, ``sentence_ids`` (known sentences in order, ``<?>`` for others between them),
     ``licenses`` (array, one entry for each match, in the rules' order) and ``n_known``.
 
-    Sentences are read twice, with line ends as sentence ends and with line ends inside paragraphs as spaces; the
-    reading with more known sentences counts, the first on a tie, so wrapped texts are found too.
+    Line ends inside paragraphs count as sentence ends and as spaces, whichever gives a known sentence at that place, so
+    wrapped texts and notices on lines of their own are found next to each other.
 
     A null or empty text has no sentences. Repeated rows are scanned one by one. Only the two named columns are read.
     An empty table gives an empty result.
@@ -146,16 +150,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
     clue = F.lit(False)
     for c in CLUES:
         clue |= low.contains(c)
-    as_lines = _sequence(_sentences(whole))
-    unwrapped = _sequence(_sentences(F.regexp_replace(whole, r"(\S)[ \t\r]*\n[ \t\r]*(?=\S)", "$1 ")))
     trimmed = lambda s: F.regexp_replace(F.regexp_replace(s, r"^<\?>", ""), r"<\?>$", "")
     n_known = lambda s: F.length(F.regexp_replace(F.regexp_replace(s, r"<\?>", ""), "[^<]", ""))
-    two = docs.select(
-        F.col(key),
-        F.when(clue, trimmed(as_lines)).otherwise(F.lit("")).alias("__a"),
-        F.when(clue, trimmed(unwrapped)).otherwise(F.lit("")).alias("__b"),
-    )
-    chosen = two.select(key, F.when(n_known(F.col("__b")) > n_known(F.col("__a")), F.col("__b")).otherwise(F.col("__a")).alias("sentence_ids"))
+    chosen = docs.select(F.col(key), F.when(clue, trimmed(_sequence(whole))).otherwise(F.lit("")).alias("sentence_ids"))
     return chosen.select(key, "sentence_ids", _matched(F.col("sentence_ids"), rules).alias("licenses"), n_known(F.col("sentence_ids")).cast("long").alias("n_known"))
 
 

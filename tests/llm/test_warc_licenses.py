@@ -95,6 +95,23 @@ def test_every_sentence_and_rule_is_found(spark):
         assert ids not in named or got[k].licenses == [named[ids]], text
 
 
+def test_both_readings_count_at_each_place(spark):
+    wrap = lambda s, n=50: "\n".join(textwrap.wrap(s, n))
+    known = licenses.SENTENCES
+    listed = lambda marks: "\n".join([known[21], *[f"{m} {wrap(known[i])}" for m, i in zip(marks, (22, 23, 24))]])
+    rows = [
+        ("<16><3><4><5>", ["MIT", "CC-BY-4.0"], "About\nLicensed under CC BY 4.0.\n" + wrap(MIT)),
+        ("<25><?><3><4><5>", ["MIT", "MIT"], "// SPDX-License-Identifier: MIT\n// Copyright someone\n" + wrap(MIT)),
+        ("<21><22><23><24>", ["BSD-3-Clause"], listed(("1.", "2.", "3."))), ("<21><22><23><24>", ["BSD-3-Clause"], listed(("1)", "(2)", "3)"))),
+        ("<21><22><23><24>", ["BSD-3-Clause"], listed("***")), ("<21><22><23>", ["BSD-2-Clause"], "\r\n".join(f"{k}.\r\n\r\n{known[21 + k]}" for k in range(3))),
+        ("<1><?><1>", ["MIT", "MIT"], f"{known[1]}\nThis isn't known\n{known[1]}"), ("<7>", ["Apache-2.0"], wrap(known[7])),
+        ("", [], "Not released under the MIT License. Licensed under CC BY 4.0 or so."), ("<1>", ["MIT"], "1 " * 50_000 + ".\n" * 50_000 + known[1]),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(k, r[2]) for k, r in enumerate(rows)], "doc_id long, text string")).collect()}
+    for k, (ids, found, text) in enumerate(rows):
+        assert (got[k].sentence_ids, got[k].licenses) == (ids, found), text[:300]
+
+
 def test_every_known_sentence_holds_a_clue():
     for s in licenses.SENTENCES.values():
         assert any(c in s.lower() for c in licenses.CLUES), s
