@@ -328,7 +328,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     Equal texts are one class, empty ones too; a text without words is like no other. A null text is a class by
     itself, with a null ``node``. Rows with a null key take part; the class's id is the least key that isn't null, or
     null. Repeated rows are in one class. Only the two named columns are read. An empty table gives an empty result.
+
+    The sketches, bands and least agreement are made for THRESHOLD and would lose links below it, so a lower
+    ``threshold`` is refused.
     """
+    if not threshold >= THRESHOLD:
+        raise ValueError(f"threshold must be {THRESHOLD} or more, not {threshold}")
     docs = docs.select(key, text)
     named = docs.select(F.col(key).alias("key"), F.md5(text).alias("node"))
     groups = written(named.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))

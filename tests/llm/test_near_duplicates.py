@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from flowspark.llm import minhash
 from flowspark.llm.graph import components
@@ -127,3 +128,10 @@ def test_components_of_paths_stars_and_loops(spark):
         for b in parent:
             assert (find(a) == find(b)) == (got[a] == got[b])
     assert components(spark.createDataFrame([("x", "x")], "a string, b string")).count() == 0
+
+
+def test_thresholds_that_would_lose_links_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for t in (0.5, 0.79, float("nan")):
+        with pytest.raises(ValueError, match="threshold"):
+            minhash.near_classes(df, threshold=t)
