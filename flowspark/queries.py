@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators.sorter import sorter
 from .plans.engine import Engine
+from .storage import remove_at_end, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,13 +195,10 @@ SQL["sorter_batch"] = "SELECT event_id, value FROM events ORDER BY value, event_
 
 def _sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows through the NDJSON sink and back, in a folder that the cluster shares."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='flowspark-sink-')}"
-    path = f"{base}/sink-{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     e = engine(spark, sf_dir)
     e.query(f'events | where value > 250 | select {{ event_id, event_type, value }} | write_to_file("{path}", {{ mode: "overwrite" }})')
+    remove_at_end(spark, path)
     return spark.read.schema("event_id long, event_type string, value double").json(path)
 
 
