@@ -1,14 +1,16 @@
-"""Helpers of the training-data operators: the shared folder, materialised tables and salted joins."""
+"""Helpers of the training-data operators: materialised tables and salted joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, remove_at_end, shared_folder, written
+
+__all__ = ["ASCII_SPACE", "Scratch", "lookup", "remove_at_end", "salted_lookup", "shared_folder", "table", "text_bytes", "written"]
+
 #: Word separators: space and the ASCII controls from tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -20,25 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests), a folder of this machine is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='flowspark-checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/flowspark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    folder = folder or shared_folder(spark)
-    df.write.mode("overwrite").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, how: str = "left", hot: Column | None = None) -> DataFrame:
-    """Join ``left`` to ``right``, which has one row per key, with each key's left rows dealt over ``SALTS`` tasks.
+    """Join ``left`` to ``right``, which has few rows per key, with each key's left rows dealt over ``SALTS`` tasks.
 
     ``spread`` is a left column that tells rows of one key apart. Right rows are repeated once per salt; with ``hot``,
     a condition on right rows, the rest must match no left row and are left out. Keys join null-safely.
@@ -64,9 +49,10 @@ def text_bytes(text: str = "text") -> Column:
 BROADCAST_ROWS = 10_000
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column) -> DataFrame:
-    """Inner, null-safe join of ``left`` with a table of one row per key, which has been written already."""
-    if right.count() > BROADCAST_ROWS:
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, rows: int | None = None) -> DataFrame:
+    """Inner, null-safe join of ``left`` with a table of few rows per key, which has been written already. ``rows``:
+    no less than the table's number of rows, if it is known."""
+    if (right.count() if rows is None else rows) > BROADCAST_ROWS:
         return salted_lookup(left, right, keys, spread, "inner")
     named = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
     on = F.lit(True)

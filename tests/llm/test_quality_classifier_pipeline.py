@@ -71,50 +71,132 @@ def test_statistics_like_brute_force(spark):
         assert got[i] == statistics(t), t
 
 
-def mcd(x, support, steps):
-    """Plain concentration steps with the module's bins, floors and start."""
-    floors = np.array(list(quality.FLOORS.values()))
-    q = lambda p: np.array([(np.floor(np.sort(np.floor(c * quality.UNIT))[max(int(np.ceil(p * len(c))) - 1, 0)]) + 0.5) / quality.UNIT for c in x.T])
-    mean, cov = q(0.5), np.diag(((q(0.75) - q(0.25)) / 1.349) ** 2 + floors**2)
-    distance = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    bins = lambda d: np.floor(np.log2(np.maximum(d, 1e-9)) * quality.OCTAVE)
-    for _ in range(steps):
-        b = bins(distance())
-        near = x[b <= np.sort(b)[int(np.ceil(support * len(b))) - 1]]
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2)
-    d = distance()
-    middle = 2 ** ((np.sort(bins(d))[(len(d) + 1) // 2 - 1] + 0.5) / quality.OCTAVE)
-    return d / max(1.0, middle / quality.MEDIAN_D2)
-
-
-def test_outliers_like_plain_mcd(spark, monkeypatch):
-    monkeypatch.setattr(quality, "MIN_GROUP", 40)
+FLOOR = np.array(list(quality.FLOORS.values()))
+
+
+def vector(r):
+    share = lambda a, b: np.sqrt(a / max(b, 1))
+    return [np.log(max(r.word_chars, 1) / max(r.n_words, 1)), share(r.n_symbols, r.word_chars), share(r.n_dup_lines, r.n_lines), share(r.n_repeat_words, r.n_words), share(r.n_capitals, r.word_chars)]
+
+
+def bins(d):
+    return np.floor(np.log2(np.maximum(d, 1e-9)) * quality.OCTAVE)
+
+
+def distances(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def plain_starts(x):
+    """Location and scatter: medians with quartile ranges, all rows, spatial signs."""
+    q = lambda p: np.array([(np.sort(np.floor(c * quality.UNIT))[max(int(np.ceil(p * len(c))) - 1, 0)] + 0.5) / quality.UNIT for c in x.T])
+    mid, spread = q(0.5), (q(0.75) - q(0.25)) / 1.349
+    yield mid, np.diag(spread**2 + FLOOR**2)
+    yield x.mean(axis=0), np.cov(x.T, bias=True) + np.diag(FLOOR**2)
+    scale = np.maximum(spread, FLOOR)
+    u = (x - mid) / scale
+    signs = u / np.sqrt(1e-9 + (u**2).sum(axis=1))[:, None]
+    yield mid, 5 * (signs.T @ signs) / len(x) * np.outer(scale, scale) + np.diag(FLOOR**2)
+
+
+def plain_mcd(x):
+    """The estimate of least determinant over the starts, each followed until it stays, and scaled by the median."""
+    ends = []
+    for mean, cov in plain_starts(x):
+        for _ in range(quality.STEPS):
+            b, most = bins(distances(x, mean, cov)), quality.SUPPORT * len(x)
+            cut = np.sort(b)[int(np.ceil(most)) - 1]
+            w = np.where(b < cut, 1.0, np.where(b == cut, (most - (b < cut).sum()) / (b == cut).sum(), 0.0))
+            mean, was = w @ x / w.sum(), cov
+            cov = (x - mean).T @ ((x - mean) * w[:, None]) / w.sum() + np.diag(FLOOR**2)
+            if abs(np.linalg.slogdet(cov)[1] - np.linalg.slogdet(was)[1]) <= quality.TOLERANCE:
+                break
+        ends.append((np.linalg.slogdet(cov)[1], mean, cov))
+    _, mean, cov = min(ends, key=lambda e: round(e[0], 9))
+    middle = 2 ** ((np.sort(bins(distances(x, mean, cov)))[(len(x) + 1) // 2 - 1] + 0.5) / quality.OCTAVE)
+    return mean, cov * max(1.0, middle / quality.MEDIAN_D2)
+
+
+def lean(n, own, onto):
+    return tuple(n / (n + quality.PRIOR) * a + quality.PRIOR / (n + quality.PRIOR) * b for a, b in zip(own, onto))
+
+
+def pooled(parts):
+    return sum(n for n, _ in parts), tuple(sum(n * e[i] for n, e in parts) / sum(n for n, _ in parts) for i in (0, 1))
+
+
+def plain_judge(rows):
+    """``d2`` of each row that passed the base rules, by groups that lean on their language and that on all."""
+    groups = {}
+    for i, r in enumerate(rows):
+        if not r.base_failed:
+            groups.setdefault((r.lang, r.source), []).append(i)
+    x = {g: np.array([vector(rows[i]) for i in at]) for g, at in groups.items()}
+    est = {g: (len(v), plain_mcd(v)) for g, v in x.items()}
+    _, overall = pooled(list(est.values()))
+    language = {}
+    for lang in {g[0] for g in groups}:
+        n, e = pooled([v for g, v in est.items() if g[0] == lang])
+        language[lang] = lean(n, e, overall)
+    return {i: d for g, at in groups.items() for i, d in zip(at, distances(x[g], *lean(est[g][0], est[g][1], language[g[0]])))}
+
+
+EXTRA = [
+    (None, None, None, None, None), (700, "", "en", "a", 0), (701, prose(random.Random(9), 80), None, None, 5), (701, prose(random.Random(9), 80), None, None, 5),
+    (702, "z " * 20_000, "en", "a", 1), (703, prose(random.Random(8), 90), "a", None, 5), (704, prose(random.Random(7), 90), None, "a", 5),
+]
+
+
+def test_outliers_like_plain_mcd(spark):
     rows = table()
-    extra = [(None, None, None, None, None), (700, "", "en", "a", 0), (701, prose(random.Random(9), 80), None, None, 5), (701, prose(random.Random(9), 80), None, None, 5), (702, "z " * 20_000, "en", "a", 1)]
-    df = spark.createDataFrame([(*r[:5], True, 1.0) for r in rows] + [(*r, True, 1.0) for r in extra], DOCS)
+    df = spark.createDataFrame([(*r[:5], True, 1.0) for r in rows] + [(*r, True, 1.0) for r in EXTRA], DOCS)
     got = quality.quality_rules(df).collect()
-    assert len(got) == len(rows) + len(extra)
+    assert len(got) == len(rows) + len(EXTRA)
     kept = {r.doc_id: r.kept for r in got}
     kinds = {r[0]: r[5] for r in rows}
     assert all(kept[i] for i, k in kinds.items() if k == "good")
-    assert not any(kept[i] for i, k in kinds.items() if k in ("shout", "repeat", "symbols"))
-    assert not kept[700] and not kept[None] and not kept[702] and kept[701]
-    for lang in ("en", "de"):
-        group = [r for r in got if (r.lang, r.source) == (lang, "a") and not r.base_failed]
-        share = lambda a, b: np.sqrt(a / max(b, 1))
-        x = np.array([[np.log(r.word_chars / r.n_words), share(r.n_symbols, r.word_chars), share(r.n_dup_lines, r.n_lines), share(r.n_repeat_words, r.n_words), share(r.n_capitals, r.word_chars)] for r in group])
-        assert np.allclose(mcd(x, quality.SUPPORT, quality.STEPS), [r.d2 for r in group], rtol=1e-6)
+    assert not any(kept[i] for i, k in kinds.items() if k in ("shout", "repeat", "symbols", "pipes"))
+    assert not kept[700] and not kept[None] and not kept[702] and kept[701] and kept[703] and kept[704]
+    want = plain_judge(got)
+    assert all((r.d2 is None) == r.base_failed for r in got)
+    assert np.allclose([want[i] for i in sorted(want)], [got[i].d2 for i in sorted(want)], rtol=1e-6)
+    assert all(got[i].kept == (d <= quality.CUTOFF) for i, d in want.items())
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
-def test_separated_words_are_rejected(spark, monkeypatch):
-    monkeypatch.setattr(quality, "MIN_GROUP", 40)
-    rows = table()
-    kinds = {r[0]: r[5] for r in rows}
-    got = quality.quality_rules(spark.createDataFrame([(*r[:5], True, 1.0) for r in rows], DOCS)).collect()
-    pipes = [r for r in got if kinds[r.doc_id] == "pipes" and not r.base_failed]
-    assert len(pipes) >= 10 and not any(r.kept for r in pipes)
-    assert all(r.kept for r in got if kinds[r.doc_id] == "good")
+def test_least_determinant_of_the_starts():
+    """One in five rows is far off on one side: the classical start alone ends no lower than the best of all."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.3, (400, 5)), rng.normal(2.0, 0.05, (100, 5))])
+    mean, _ = plain_mcd(x)
+    assert np.abs(mean).max() < 0.1
+
+
+@pytest.mark.parametrize("n", [199, 200])
+def test_small_groups_lean_by_degrees(spark, n):
+    """A source of 199 documents is judged like one of 200, and a small one of junk alone doesn't judge itself."""
+    rows = [r for r in table(900, 6) if r[5] == "good"]
+    some = [(10_000 + i, prose(random.Random(i), 120, "en"), "en", "small", 0) for i in range(n)]
+    junk = [(20_000 + i, " | ".join(prose(random.Random(i), 150, "en").split()), "en", "junk", 0) for i in range(10)]
+    df = spark.createDataFrame([(*r[:5], True, 1.0) for r in rows] + [(*r, True, 1.0) for r in some + junk], DOCS)
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert all(got[r[0]].kept for r in some) and not any(got[r[0]].kept for r in junk)
+
+
+def test_kept_rows_where_they_are(spark):
+    """The stage's rows are those that the operator keeps, with columns of any name, and texts aren't shuffled."""
+    rows = table(300, 4)
+    names = "__md5", "__n", "d2", "kept", "__row", "n_words"
+    data = [(*r[:4], *range(len(names))) for r in rows] + [(*r[:4], *range(len(names))) for r in EXTRA + EXTRA]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = quality.keep_by_rules(df)
+    assert out.columns == df.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange RoundRobin" not in plan
+    want = [r.doc_id for r in quality.quality_rules(df).collect() if r.kept]
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == sorted(want) and all(r.__getitem__("n_words") == 5 for r in got)
+    assert quality.keep_by_rules(df.limit(0)).count() == 0
 
 
 def test_salted_groups_agree(spark, monkeypatch):
