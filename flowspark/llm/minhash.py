@@ -14,7 +14,7 @@ document too; the rest needs neither signature nor vector, and loses no link.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, text_bytes, written
+from ._shared import Scratch, table, text_bytes, written
 from ._words import BASE, U64, Words, in_batches, mix
 from .graph import components
 
@@ -34,10 +34,8 @@ SAMPLES = BANDS * ROWS
 LEAST_AGREEMENT = 0.55
 #: Bytes of text in a block, and those whose shingles a range's task counts: there are as many ranges as keep it so.
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 64 << 20
-#: Members of a band's bucket that are compared with each other in one task.
-BUCKET_CHUNK = 1024
-#: Losing documents up to this number are sent to all executors, to filter without moving texts.
-BROADCAST_LOSERS = 1_000_000
+#: Members of a band's bucket that meet as many others in one group of rows, in expectation.
+CHUNK = 128
 
 HASH_BITS = 48
 
@@ -169,15 +167,25 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> n
     return out
 
 
-def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
+def bounded_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
     """1 for a shingle that all documents have, 2 for one that a single document has, by the logarithm between."""
     return 1 + np.log(n_docs / np.minimum(df, n_docs)) / np.log(n_docs) if n_docs > 1 else np.ones(len(df))
 
 
+def smoothed_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """The usual smoothed form, 1 + ln((1 + n) / (1 + df)). In a large group of copies it makes the few changed words
+    weigh far more than the many common ones, so that copies which differ by single words fall below 0.8."""
+    return 1 + np.log((1 + n_docs) / (1 + df.astype(np.float64)))
+
+
+#: Inverse document frequencies from frequencies and the number of documents, at least 1 each.
+Frequency = Callable[[np.ndarray, int], np.ndarray]
+
+
 SKETCH = "node string, total double, hashes binary, weights binary, samples array<int>, bands array<long>"
 
 
-def _sketch(n_docs: int):
+def _sketch(n_docs: int, frequency: Frequency):
     def sketch(docs: pa.Table, counts: pa.Table) -> pa.Table:
         columns: dict[str, list] = {n: [] for n in ("node", "total", "hashes", "weights", "samples", "bands")}
         if docs.num_rows:
@@ -186,7 +194,7 @@ def _sketch(n_docs: int):
             _, places, _ = _distinct(each)
             parts = sorted(zip(counts.column("range").to_pylist(), counts.column("df").to_pylist(), strict=True))
             df = np.concatenate([_unsqueeze(x, np.uint32) for _, x in parts]) if parts else np.zeros(0, np.uint32)
-            idf, at, done = inverse_frequency(df, n_docs), 0, set()
+            idf, at, done = frequency(df, n_docs), 0, set()
             chosen: list[tuple[np.ndarray, np.ndarray]] = []
             for node, (h, n) in zip(nodes, each, strict=True):
                 mine = places[at : at + len(h)]
@@ -219,7 +227,7 @@ def _sketch(n_docs: int):
     return sketch
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", frequency: Frequency = bounded_frequency, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """A written row for each distinct text that may have a near-duplicate: its id ``node`` (MD5), vector and samples."""
     spark = docs.sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(text_bytes(text)).alias("b")).first()
@@ -230,8 +238,8 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     blocks = docs.filter(F.col(text).isNotNull()).select(block.alias("block"), F.md5(text).alias("node"), F.col(text).alias("text"))
     sent = blocks.groupBy("block").applyInArrow(_send_counts(n_ranges), "range int, block int, hashes binary, counts binary")
     returned = sent.groupBy("range").applyInArrow(_sum_counts, "block int, range int, df binary")
-    made = blocks.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(_sketch(size.n), SKETCH)
-    return written(made.dropDuplicates(["node"]))
+    made = blocks.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(_sketch(size.n, frequency), SKETCH)
+    return keep(made.dropDuplicates(["node"]))
 
 
 def weighted_jaccard(h1, w1, total1: float, h2, w2, total2: float) -> float:
@@ -259,29 +267,46 @@ def _verify(threshold: float):
     return verify
 
 
-def _links(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+def _links(pairs: DataFrame, sketched: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Written ``a, b, similarity`` of the candidate pairs that are similar. ``pairs`` is a written table."""
     end = lambda c, *names: sketched.select(F.col("node").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in names])
     agree = F.aggregate(F.zip_with("samples_a", "samples_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     likely = pairs.join(end("a", "samples"), "a").join(end("b", "samples"), "b").filter(agree >= LEAST_AGREEMENT * SAMPLES).select("a", "b")
-    likely = written(likely)
+    likely = keep(likely)
     vectors = ("hashes", "weights", "total")
     both = likely.join(end("b", *vectors), "b").join(end("a", *vectors), "a")
-    return written(both.mapInArrow(_verify(threshold), "a string, b string, similarity double"))
+    return keep(both.mapInArrow(_verify(threshold), "a string, b string, similarity double"))
+
+
+def _involved(t: pa.Table) -> pa.Table:
+    """Members of a cell, few (``minor``) against some of all, that agree with one of another class. Samples alone
+    decide; a pair is looked at where it first shares a band."""
+    band = t.column("band")[0].as_py()
+    _, classes = np.unique(np.asarray(t.column("label").to_pylist()), return_inverse=True)
+    minor = np.asarray(t.column("minor"))
+    samples, bands = np.stack(t.column("samples").to_numpy()), np.stack(t.column("bands").to_numpy())
+    few, all_ = np.flatnonzero(minor), np.flatnonzero(~minor)
+    met = np.zeros(len(minor), bool)
+    for i in few:
+        near = all_[classes[all_] != classes[i]]
+        near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
+        near = near[(samples[near] == samples[i]).sum(axis=1) >= LEAST_AGREEMENT * SAMPLES]
+        met[near] = True
+        met[i] = len(near) > 0
+    return t.select(["band", "value", "node"]).filter(pa.array(met))
 
 
 def _unlike_links(threshold: float):
-    """Links between members of a bucket that are in different classes, compared where they first share a band.
+    """Links between members of a cell that are in different classes, compared where they first share a band.
 
     Classes grow as links are found, and members of one class aren't compared any more: a link for each class that
-    joins another is enough. Comparing one member with many adds up shared weight over the bucket's own shingles.
+    joins another is enough. Comparing one member with many adds up shared weight over the cell's own shingles.
     """
 
     def find(t: pa.Table) -> pa.Table:
         nodes = t.column("node").to_pylist()
-        _, classes, sizes = np.unique(np.asarray(t.column("label").to_pylist()), return_inverse=True, return_counts=True)
-        sides, band = np.asarray(t.column("chunk")), t.column("band")[0].as_py()
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        _, classes = np.unique(np.asarray(t.column("label").to_pylist()), return_inverse=True)
+        minor, band = np.asarray(t.column("minor")), t.column("band")[0].as_py()
         samples, bands = np.stack(t.column("samples").to_numpy()), np.stack(t.column("bands").to_numpy())
         totals = np.asarray(t.column("total"))
         vectors = [unpack(x) for x in t.column("hashes").to_pylist()]
@@ -289,107 +314,139 @@ def _unlike_links(threshold: float):
         shingle_count, places = np.unique(np.concatenate(vectors), return_inverse=True)
         weights = np.concatenate([_unsqueeze(x, np.float64) for x in t.column("weights").to_pylist()])
         dense = np.zeros(len(shingle_count))
-        left, right = np.flatnonzero(sides == lo), np.flatnonzero(sides == hi)
-        major = sizes.argmax()
+        few, all_ = np.flatnonzero(minor), np.flatnonzero(~minor)
         found: dict[str, list] = {"a": [], "b": [], "similarity": []}
-        for mine, other in ((left, right), (right, left)) if lo != hi else ((left, right),):
-            for i in mine[classes[mine] != major]:  # a pair in different classes has an end outside the largest
-                near = other[classes[other] != classes[i]]
-                near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
-                near = near[(samples[near] == samples[i]).sum(axis=1) >= LEAST_AGREEMENT * SAMPLES]
-                if not len(near):
+        for i in few:
+            near = all_[classes[all_] != classes[i]]
+            near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
+            near = near[(samples[near] == samples[i]).sum(axis=1) >= LEAST_AGREEMENT * SAMPLES]
+            if not len(near):
+                continue
+            own = slice(limits[i], limits[i + 1])
+            dense[places[own]] = weights[own]
+            for j in near:
+                if classes[j] == classes[i]:
                     continue
-                own = slice(limits[i], limits[i + 1])
-                dense[places[own]] = weights[own]
-                for j in near:
-                    if classes[j] == classes[i]:
-                        continue
-                    theirs = slice(limits[j], limits[j + 1])
-                    shared = np.minimum(dense[places[theirs]], weights[theirs]).sum()
-                    s = shared / (totals[i] + totals[j] - shared)
-                    if s >= threshold * (1 - 1e-9):
-                        for n, v in (("a", min(nodes[i], nodes[j])), ("b", max(nodes[i], nodes[j])), ("similarity", float(s))):
-                            found[n].append(v)
-                        classes[classes == classes[i]] = classes[j]
-                dense[places[own]] = 0
+                theirs = slice(limits[j], limits[j + 1])
+                shared = np.minimum(dense[places[theirs]], weights[theirs]).sum()
+                s = shared / (totals[i] + totals[j] - shared)
+                if s >= threshold * (1 - 1e-9):
+                    for n, v in (("a", min(nodes[i], nodes[j])), ("b", max(nodes[i], nodes[j])), ("similarity", float(s))):
+                        found[n].append(v)
+                    classes[classes == classes[i]] = classes[j]
+            dense[places[own]] = 0
         return pa.table({"a": pa.array(found["a"], pa.string()), "b": pa.array(found["b"], pa.string()), "similarity": pa.array(found["similarity"], pa.float64())})
 
     return find
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Written ``key, node, class_id, class_size`` for each row of ``docs``; ``class_id`` is its class's least key.
+def _cells(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``members`` of buckets (``band, value, node, label``) dealt into cells: those outside their bucket's largest class
+    (``minor``) in chunks against all members in chunks, CHUNK at most of either in expectation.
+
+    Of a pair in different classes one end at least is outside the largest class, so each such pair meets in a cell. A
+    member goes to as many cells as there are chunks of the others: in a bucket of n members, m of them minor, rows
+    grow as n * m / CHUNK, which is the number of comparisons in units of CHUNK, and as n where m is small.
+    """
+    sizes = keep(members.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n")))
+    buckets = sizes.groupBy("band", "value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
+    buckets = keep(buckets.filter("classes > 1").select("band", "value", F.col("top.label").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("m")))
+    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    placed = members.join(buckets, ["band", "value"])
+    dealt = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), chunks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
+    all_ = placed.withColumn("right", dealt("n", 0)).withColumn("left", every("m")).withColumn("minor", F.lit(False))
+    few = placed.filter("label <> top").withColumn("left", dealt("m", 1)).withColumn("right", every("n")).withColumn("minor", F.lit(True))
+    return all_.unionByName(few).drop("top", "n", "m")
+
+
+def _links_across(members: DataFrame, sketched: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between members of one bucket that are in different classes. First samples alone tell which members agree
+    with one of another class; vectors are fetched for these only."""
+    cell = ["band", "value", "left", "right"]
+    narrow = _cells(members, keep).join(sketched.select("node", "samples", "bands"), "node")
+    met = keep(narrow.groupBy(*cell).applyInArrow(_involved, "band int, value long, node string").distinct())
+    involved = keep(members.join(met, ["band", "value", "node"], "left_semi"))
+    wide = _cells(involved, keep).join(sketched.select("node", "total", "hashes", "weights", "samples", "bands"), "node")
+    return keep(wide.groupBy(*cell).applyInArrow(_unlike_links(threshold), "a string, b string, similarity double"))
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, frequency: Frequency = bounded_frequency) -> DataFrame:
+    """Written ``key, node, class_id, class_size, stays`` for each row of ``docs``; ``class_id`` is its class's least key,
+    and ``stays`` is true for the rows of that key with the text that stands for the class.
 
     Rows are in one class if their texts are equal or linked by a chain of texts whose weighted Jaccard similarity,
     over TF-IDF weighted five-word shingles, is ``threshold`` or more. First every member of a bucket is compared with
     the bucket's first member; then, in buckets that still hold several classes, all pairs in different classes are
-    compared, in chunks. So within buckets no link between classes is lost, and no group is expanded into its pairs.
+    compared, in cells. So within buckets no link between classes is lost, and no group is expanded into its pairs.
 
     Equal texts are one class, empty ones too; a text without words is like no other. A null text is a class by
     itself, with a null ``node``. Rows with a null key take part; the class's id is the least key that isn't null, or
     null. Repeated rows are in one class. Only the two named columns are read. An empty table gives an empty result.
 
     The sketches, bands and least agreement are made for THRESHOLD and would lose links below it, so a lower
-    ``threshold`` is refused.
+    ``threshold`` is refused. ``frequency`` weighs the shingles.
     """
     if not threshold >= THRESHOLD:
         raise ValueError(f"threshold must be {THRESHOLD} or more, not {threshold}")
-    docs = docs.select(key, text)
-    named = docs.select(F.col(key).alias("key"), F.md5(text).alias("node"))
-    groups = written(named.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))
-    sketched = sketches(docs, key, text)
-    bands = written(sketched.select("node", F.posexplode("bands").alias("band", "value")))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        out = _classes(docs, threshold, frequency, scratch.written)
+        return written(out.withColumnRenamed("key", key))
+
+
+def _classes(docs: DataFrame, threshold: float, frequency: Frequency, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    named = docs.select("key", F.md5("text").alias("node"))
+    groups = keep(named.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))
+    sketched = sketches(docs, "key", "text", frequency, keep)
+    bands = keep(sketched.select("node", F.posexplode("bands").alias("band", "value")))
     buckets = bands.groupBy("band", "value").agg(F.min("node").alias("a"), F.max("node").alias("top"))
-    leaders = written(buckets.filter("a < top").drop("top"))
-    pairs = written(bands.join(leaders, ["band", "value"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct())
-    links = _links(pairs, sketched, threshold)
-    labels = written(components(links.select("a", "b")))
-    # Buckets that hold several classes.
-    labelled = written(
+    leaders = keep(buckets.filter("a < top").drop("top"))
+    pairs = keep(bands.join(leaders, ["band", "value"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    links = _links(pairs, sketched, threshold, keep)
+    labels = keep(components(links.select("a", "b"), keep))
+    # Buckets that hold several classes; two members have been compared already.
+    labelled = keep(
         bands.join(leaders, ["band", "value"], "left_semi").join(labels, "node", "left").select("band", "value", "node", F.coalesce("label", "node").alias("label"))
     )
-    mixed = labelled.groupBy("band", "value").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("size")).filter("l1 < l2")
-    mixed = written(mixed.filter("size > 2").drop("l1", "l2"))
-    chunks = F.ceil(F.col("size") / BUCKET_CHUNK).cast("int")
-    full = sketched.select("node", "total", "hashes", "weights", "samples", "bands")
-    members = labelled.join(mixed, ["band", "value"]).join(full, "node")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    members = members.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "size")
-    more = written(members.groupBy("band", "value", "lo", "hi").applyInArrow(_unlike_links(threshold), "a string, b string, similarity double"))
+    mixed = labelled.groupBy("band", "value").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("size"))
+    mixed = mixed.filter("l1 < l2 and size > 2").select("band", "value")
+    more = _links_across(keep(labelled.join(mixed, ["band", "value"])), sketched, threshold, keep)
     if not more.isEmpty():
-        labels = components(links.unionByName(more).select("a", "b"))
-    labels = written(labels)
-    placed = written(groups.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")))
+        labels = keep(components(links.unionByName(more).select("a", "b"), keep))
+    placed = keep(groups.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")))
     least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node"))
-    classes = written(placed.groupBy("label").agg(least.alias("w"), F.sum("n").alias("class_size")))
-    by_node = written(placed.join(classes, "label").select(F.col("node").alias("__node"), F.col("w.first").alias("class_id"), F.col("w.node").alias("winner"), "class_size"))
+    classes = keep(placed.groupBy("label").agg(least.alias("w"), F.sum("n").alias("class_size")))
+    by_node = keep(placed.join(classes, "label").select(F.col("node").alias("__node"), F.col("w.first").alias("class_id"), F.col("w.node").alias("winner"), "class_size"))
     out = named.join(by_node, F.col("node") == F.col("__node"), "left")
     alone = F.col("node").isNull()
-    return written(
-        out.select(
-            F.col("key").alias(key),
-            "node",
-            F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
-            F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
-            (alone | ((F.col("node") == F.col("winner")) & F.col("key").eqNullSafe(F.col("class_id")))).alias("stays"),
-        )
+    return out.select(
+        "key",
+        "node",
+        F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
+        (alone | ((F.col("node") == F.col("winner")) & F.col("key").eqNullSafe(F.col("class_id")))).alias("stays"),
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each class of ``near_classes`` keeps its member of least key.
+    """The rows of ``docs`` that stay when each class of ``near_classes`` keeps its member of least key, with all their
+    columns; no column name is reserved.
+
+    Of repeated rows, which share key and text, one stays, in no fixed way if their other columns differ. A row with a
+    null text stays. An empty table gives an empty result.
 
-    Of repeated rows one stays. A row with a null text stays.
+    One plan at every size: each distinct text's row of least key, which no other row of that text can outlast, meets
+    the verdicts in a join by text. Rows are reduced before they are shuffled, so copies reach a task as a row for each
+    input task, and each distinct text moves once.
     """
     classes = near_classes(docs, key, text)
-    losers = written(classes.filter(~F.col("stays")).select(F.col("node").alias("__n"), F.col(key).alias("__k")).distinct())
-    lost = F.broadcast(losers) if losers.count() <= BROADCAST_LOSERS else losers
-    kept = docs.join(lost, (F.md5(F.col(text)) == F.col("__n")) & F.col(key).eqNullSafe(F.col("__k")), "left_anti")
-    repeated = classes.filter("stays and node is not null").groupBy("node", key).count().filter("count > 1")
-    if not repeated.isEmpty():
-        full = kept.filter(F.col(text).isNotNull()).withColumn("__n", F.md5(text))
-        return full.dropDuplicates([key, "__n"]).drop("__n").unionByName(kept.filter(F.col(text).isNull()))
-    return kept
+    kept = classes.filter("stays and node is not null").select(F.col("node").alias("__n")).distinct()
+    # Columns of the caller are carried in a struct, so that none can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k")).alias("__order"), F.md5(F.col(text)).alias("__md5"))
+    first = rows.filter(F.col("__md5").isNotNull()).groupBy("__md5").agg(F.min_by("__row", "__order").alias("__row"))
+    stay = first.join(kept, F.col("__md5") == F.col("__n"), "left_semi")
+    return stay.select("__row.*").unionByName(rows.filter(F.col("__md5").isNull()).select("__row.*"))
 
 
 def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

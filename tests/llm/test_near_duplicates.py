@@ -59,7 +59,7 @@ def corpus(seed=1):
 
 def test_classes_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(minhash, "BUCKET_CHUNK", 4)
+    monkeypatch.setattr(minhash, "CHUNK", 4)
     rows = corpus()
     out = minhash.near_classes(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, class_id int")).collect()
     got = collections.defaultdict(set)
@@ -83,6 +83,82 @@ def test_one_of_each_class_stays(spark):
     assert kept[0].asDict().keys() == {"doc_id", "text", "lang"}
 
 
+def test_a_stay_moves_each_text_once(spark):
+    rows = corpus(2)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows * 3], "doc_id long, text string, __md5 int, __n int, key int")
+    out = minhash.keep_one(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(__md5" in line]
+    assert out.columns == df.columns and len(texts) == 1
+    assert out.count() == len(classes(rows)) + 2 * sum(t is None for _, t in rows)
+
+
+def test_mixed_bucket_of_thousands(spark):
+    """5,000 texts that share most of their words: every pair at or above 0.8 is in one class, however buckets mix."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(4))
+    base = [word() for _ in range(120)]
+    texts = []
+    for i in range(5000):
+        t = list(base)
+        if i % 2:  # a second family, at about 0.8 of the first
+            t[20:28] = ["other", "words", "stand", "in", "this", "place", "of", "those"]
+        for _ in range(rng.choice((0, 0, 1))):
+            t[rng.randrange(120)] = word()
+        texts.append(" ".join(t))
+    out = minhash.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = collections.defaultdict(set)
+    for r in out:
+        got[r.class_id].add(r.doc_id)
+    by = np.zeros(5000, int)
+    for k, g in got.items():
+        by[list(g)] = k
+    df = collections.Counter()
+    bags = []
+    for t in texts:
+        w = t.split()
+        bag = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        df.update(bag.keys())
+        bags.append(bag)
+    weigh = lambda k: 1 + math.log(5000 / df[k]) / math.log(5000)
+    # Each text against the classes' members that it could link: distinct texts only, by shared weight.
+    distinct = {}
+    for i, t in enumerate(texts):
+        distinct.setdefault(t, i)
+    ids = list(distinct.values())
+    total = np.array([sum(n * weigh(k) for k, n in bags[i].items()) for i in ids])
+    postings = collections.defaultdict(list)
+    for a, i in enumerate(ids):
+        for k in bags[i]:
+            postings[k].append(a)
+    lost = links = 0
+    for a, i in enumerate(ids):
+        shared = np.zeros(len(ids))
+        for k, n in bags[i].items():
+            shared[postings[k]] += n * weigh(k)
+        s = shared / (total[a] + total - shared)
+        near = np.flatnonzero(s >= 0.8 + 1e-9)
+        links += len(near)
+        lost += (by[[ids[b] for b in near]] != by[i]).sum()
+    assert links > 100_000 and lost == 0
+
+
+@pytest.mark.parametrize("frequency, all_found", [(minhash.bounded_frequency, True), (minhash.smoothed_frequency, False)])
+def test_recall_of_large_groups_by_frequency(spark, frequency, all_found):
+    """Copies of one text that differ in a word each: all found with the bounded frequency, few with the smoothed."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    base = [word() for _ in range(100)]
+    texts = []
+    for _ in range(400):
+        t = list(base)
+        t[rng.randrange(100)] = word()
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = minhash.near_classes(df, frequency=frequency).groupBy("class_id").count().agg({"count": "max"}).first()[0]
+    assert out == 400 if all_found else out < 40
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_classes(df).count() == 0 and minhash.keep_one(df).count() == 0
