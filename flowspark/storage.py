@@ -63,7 +63,10 @@ class Scratch:
         for folder in self.folders:
             remove(self.spark, folder)
 
+    def folder(self) -> str:
+        """A new path that goes with the block, whatever is written there."""
+        self.folders.append(shared_folder(self.spark))
+        return self.folders[-1]
+
     def written(self, df: DataFrame) -> DataFrame:
-        folder = shared_folder(self.spark)
-        self.folders.append(folder)
-        return written(df, folder)
+        return written(df, self.folder())
