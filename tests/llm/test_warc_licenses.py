@@ -1,9 +1,12 @@
 """WARC round trips and licence rules."""
 
 import base64
+import gzip
 import hashlib
 import textwrap
 
+from pyspark.sql import functions as F
+
 from flowspark.llm import licenses, warc
 
 ROWS = [
@@ -52,7 +55,7 @@ def test_assembled_captures_hold_payloads(spark, tmp_path):
 
 def test_parts_that_miss(spark):
     schema = warc.RECORDS
-    rows = [("<a>", "request", "<gone>", None, None, None, None, None, None, None), ("<b>", "response", None, None, "u", None, None, 1, None, bytearray(b"x"))]
+    rows = [("<a>", "request", ["<gone>"], None, None, None, None, None, None, None), ("<b>", "response", None, None, "u", None, None, 1, None, bytearray(b"x"))]
     got = {r.capture_id: r for r in warc.assemble(spark.createDataFrame(rows, schema)).collect()}
     assert got["<gone>"].kind is None and got["<gone>"].request and got["<gone>"].response is None
     assert got["<b>"].request is None and got["<b>"].response.payload_bytes == 1
@@ -117,11 +120,46 @@ def test_every_known_sentence_holds_a_clue():
         assert any(c in s.lower() for c in licenses.CLUES), s
 
 
-def test_both_ways_to_find_revisits_agree(spark, monkeypatch):
+def test_parts_are_whole_records(spark):
+    """Two metadata records of one response give the fields of one of them; a record may name several captures."""
+    none = (None, None, None)
+    rows = [
+        ("<c>", "response", ["<d>"], *none, None, 1, None, bytearray(b"x")), ("<d>", "response", [], *none, None, 1, None, bytearray(b"y")),
+        ("<m1>", "metadata", ["<c>"], *none, 5, None, None, None), ("<m2>", "metadata", ["<c>"], *none, 1, None, None, None), ("<m2>", "metadata", ["<c>"], *none, 1, None, None, None),
+        ("<q>", "request", ["<c>", "<d>", "<c>"], *none, None, None, None, None),
+    ]
+    got = {r.capture_id: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
+    assert set(got) == {"<c>", "<d>"}
+    assert got["<c>"].metadata.asDict() == {"record_id": "<m1>", "page_id": 5} and got["<c>"].page_id == 5
+    assert got["<c>"].request.record_id == got["<d>"].request.record_id == "<q>" and got["<d>"].metadata is None
+    head = "WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <q>\r\nWARC-Concurrent-To: <c>\r\nWARC-Concurrent-To: <d>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert next(warc.parse_archive(gzip.compress(head.encode())))["concurrent_to"] == ["<c>", "<d>"]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 300_000)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (1000, 30_000))
+    rows = [(i, f"http://h/{i}", ("x" * (500 if i % 3 else 20_000)) + str(i)) for i in range(300)] + [(900 + i, "u", "y" * 200_000 + str(i)) for i in range(3)]
+    folder = f"file://{tmp_path}/archives"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "archives").glob("*.gz")]
+    assert max(sizes) <= 300_000 and len(sizes) < 60
+    assert warc.read_archives(spark, folder).count() == 3 * len(rows)
+
+
+def test_a_page_repeated_many_times(spark, tmp_path):
+    df = spark.range(100_000).select(F.lit(7).cast("long").alias("page_id"), F.lit("http://a/").alias("url"), F.lit("<p>same").alias("html"))
+    df.union(spark.createDataFrame([(8, "http://b/", "<p>same"), (6, None, "alone"), (6, "http://c/", "alone")], "page_id long, url string, html string")).write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op1_warc_transactions(spark, str(tmp_path)).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0, r["count"]) for r in got) == [(6, "response", 0, 1), (6, "revisit", 6, 1), (7, "revisit", 8, 100_000), (8, "response", 0, 1)]
+
+
+def test_payloads_are_reduced_before_they_move(spark):
     rows = [(i, "u", f"p{i % 4}") for i in range(40)] + [(None, "u", "p1"), (50, "u", "alone"), (51, "u", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    key = lambda d: sorted((r.page_id or -1, r.payload, r.copy, r.is_revisit, r.top if r.is_revisit else 0) for r in d.collect())
-    few = key(warc.plan_captures(df))
-    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)
-    assert key(warc.plan_captures(df)) == few
-    assert sum(r[3] for r in few) == 41 - 4
+    stored, revisits = warc.stored_captures(df), warc.revisit_captures(df)
+    assert sorted(r.page_id for r in stored.collect()) == [36, 37, 38, 39, 50, 51]
+    assert revisits.count() == len(rows) - 6 and {r.top for r in revisits.collect()} == {36, 37, 38, 39}
+    assert "payload" not in revisits.columns
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_max_by" in plan
