@@ -8,7 +8,7 @@ scorer then judges every document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import cache
 
@@ -17,17 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import Scratch, table
 from ._words import U64, Words, in_batches, mix
 
-#: Documents that the scorer is trained on, in expectation; all are used where there are no more.
+#: Documents that the scorer is trained on at most, those of least hash, and features that they hold together at most;
+#: all are used where there are no more. Repeated rows are one document with its number of rows as weight.
 TRAINING_DOCS = 8192
+TRAINING_FEATURES = 16_000_000
 #: Length of the hashed feature vector.
 FEATURES = 1 << 16
 ROUNDS = 300
-#: Most that a labeller's rate of calling good documents bad is taken to be. Junk is of several kinds, each seen by few
-#: labellers; without this bound a kind that fits the others' votes would be taken for good documents.
-MOST_WRONG = 0.01
 #: Documents with a lower probability of being good are rejected.
 KEEP = 0.5
 
@@ -183,9 +182,6 @@ def fit_label_model(patterns: Mapping[str, int], steps: int = 100) -> LabelModel
             for v in (BAD, GOOD, ABSTAIN):
                 prior = rates[0, c, v] * max(1.0, 0.01 * total)
                 fresh[:, c, v] = (w @ (cast == v) + prior) / (w.sum() + max(1.0, 0.01 * total))
-        over = np.maximum(fresh[:, GOOD, BAD] - MOST_WRONG, 0)
-        fresh[:, GOOD, BAD] -= over
-        fresh[:, GOOD, ABSTAIN] += over
         share = float((n @ p + 0.8) / (total + 1))
         if np.abs(fresh - model.rates).max() < 1e-9:
             break
@@ -193,15 +189,17 @@ def fit_label_model(patterns: Mapping[str, int], steps: int = 100) -> LabelModel
     return model
 
 
-def train(places: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights, the intercept last, of a logistic regression on soft labels: full gradients with adaptive steps."""
+def train(places: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights, the intercept last, of a logistic regression on soft labels: full gradients with adaptive steps. ``counts``
+    are the documents' weights."""
+    share = counts / max(1, counts.sum())
     rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
     at = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
     x = np.concatenate(values) if values else np.zeros(0)
     w, seen, bias, bias_seen = np.zeros(FEATURES), np.full(FEATURES, 1e-8), 0.0, 1e-8
     for _ in range(rounds if len(places) else 0):
         score = np.bincount(rows, weights=x * w[at], minlength=len(places)) + bias
-        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - targets) / len(places)
+        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - targets) * share
         gradient = np.bincount(at, weights=x * error[rows], minlength=FEATURES) + 1e-6 * w
         seen += gradient**2
         w -= 0.5 * gradient / np.sqrt(seen)
@@ -227,8 +225,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             patterns += votes(d)
             features += [d.counted(i) for i in range(len(d.n_words))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(patterns, pa.string()), pa.array([p for p, _ in features], pa.list_(pa.int32())), pa.array([v for _, v in features], pa.list_(pa.float32())), batch.column(1)],
-            ["pattern", "places", "values", "h"],
+            [pa.array(patterns, pa.string()), pa.array([p for p, _ in features], pa.list_(pa.int32())), pa.array([v for _, v in features], pa.list_(pa.float32())), batch.column(1), batch.column(2)],
+            ["pattern", "places", "values", "h", "n"],
         )
 
 
@@ -245,36 +243,58 @@ def _judge(weights: np.ndarray):
     return judge
 
 
+def _sample(docs: DataFrame, key: str, text: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Written features of the training documents, ``pattern, places, values, h, n``. Hashes choose rows where they are
+    read; only these are shuffled, with repeated ones counted first, so neither long nor repeated rows meet unbounded."""
+    hashed = docs.select(F.col(text).alias("text"), F.xxhash64(F.lit(10), key, text).alias("h")).withColumn("at", F.pmod("h", F.lit(1 << 30)))
+    distinct = hashed.agg(F.approx_count_distinct("h", 0.03).alias("n")).first().n
+    if distinct > TRAINING_DOCS:  # more than are wanted; those of least hash stay
+        hashed = hashed.filter(F.col("at") < F.lit(int(min(1.0, 1.2 * TRAINING_DOCS / distinct) * (1 << 30))))
+    one = hashed.groupBy("at", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    return keep(one.select("text", "h", "n").mapInArrow(_features, "pattern string, places array<int>, values array<float>, h long, n long"))
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[LabelModel, np.ndarray]:
-    """The label model, from all rows, and the scorer's weights, from about TRAINING_DOCS rows that hashes choose."""
-    found = written(docs.select(text).mapInArrow(_vote, "pattern string").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
-    patterns = {r.pattern: r.n for r in found.collect()}  # at most 3 ** len(LABELLERS) rows
-    model = fit_label_model(patterns)
-    total = sum(patterns.values())
-    sample = docs.select(text, F.xxhash64(F.lit(10), key, text).alias("h"))
-    if total > TRAINING_DOCS:
-        sample = sample.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(TRAINING_DOCS / total * (1 << 30))))
-    rows = sample.select(text, "h").mapInArrow(_features, "pattern string, places array<int>, values array<float>, h long").toArrow()
-    order = np.argsort(np.asarray(rows.column("h"))) if rows.num_rows else []
+    """The label model, from all rows, and the scorer's weights, from TRAINING_DOCS documents with TRAINING_FEATURES
+    features at most, those of least hash: so much reaches the driver."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.written(docs.select(text).mapInArrow(_vote, "pattern string").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+        patterns = {r.pattern: r.n for r in found.collect()}  # at most 3 ** len(LABELLERS) rows
+        model = fit_label_model(patterns)
+        sample = _sample(docs, key, text, scratch.written)
+        at = F.pmod("h", F.lit(1 << 30))
+        sizes = sample.select(at.alias("at"), "h", F.size("places").alias("size")).orderBy("at", "h").limit(TRAINING_DOCS).collect()
+        held, last = 0, (-1, 0)
+        for r in sizes:
+            held += r["size"]
+            if held > TRAINING_FEATURES and last[0] >= 0:
+                break
+            last = (r["at"], r.h)
+        chosen = sample.filter((at < last[0]) | ((at == last[0]) & (F.col("h") <= last[1])))
+        rows = chosen.toArrow()
+    place, hashes = np.asarray(rows.column("h")) % (1 << 30), np.asarray(rows.column("h"))
+    order = np.lexsort((hashes, place)) if rows.num_rows else []
     posterior = {p: model.posterior(p) for p in patterns}
-    places, values, target = [], [], []
-    for i in order:
-        p = rows.column("places")[int(i)].values.to_numpy()
+    places, values, target, counts = [], [], [], []
+    for i in map(int, order):
+        p = rows.column("places")[i].values.to_numpy()
         if len(p):
             places.append(p)
-            values.append(rows.column("values")[int(i)].values.to_numpy().astype(float))
-            target.append(posterior.get(rows.column("pattern")[int(i)].as_py(), model.prior))
-    return model, train(places, values, np.array(target))
+            values.append(rows.column("values")[i].values.to_numpy().astype(float))
+            target.append(posterior.get(rows.column("pattern")[i].as_py(), model.prior))
+            counts.append(rows.column("n")[i].as_py())
+    return model, train(places, values, np.array(target), np.array(counts, float))
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = (), fitted: tuple[LabelModel, np.ndarray] | None = None) -> DataFrame:
     """``text``, key, ``columns``, ``votes``, ``score`` (probability of a good document) and ``kept`` of each row.
 
     A null text or one without words scores 0 and isn't kept. Repeated rows score alike. Columns of ``docs`` that
-    aren't named are left out. Without documents nothing is trained and the result is empty.
+    aren't named are left out, and so are named ones that are called ``votes``, ``score`` or ``kept``. Without documents
+    nothing is trained and the result is empty.
     """
     _, weights = fitted or fit(docs, key, text)
-    names = [text, key, *[c for c in columns if c not in (text, key)]]
+    names = [text, key, *[c for c in columns if c not in (text, key, "votes", "score", "kept")]]
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names) + ", votes string, score double"
     judged = docs.select(*names).mapInArrow(_judge(weights), schema)
     return judged.withColumn("kept", F.col("score") >= KEEP)

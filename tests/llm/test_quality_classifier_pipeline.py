@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowspark.llm import quality, weak_labels
@@ -227,13 +228,127 @@ def test_label_model_finds_accuracies():
     assert weak_labels.fit_label_model({}).prior == 0.8
 
 
+def plain_statistics(text):
+    """The labellers' statistics of one text, word by word."""
+    w = [x for x in re.split(rb"[ \t\n\x0b\x0c\r]+", (text or "").encode()) if x]
+    n, all_ = len(w), b"".join(w)
+    low = lambda x: bytes(c + 32 if 65 <= c <= 90 else c for c in x if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128)
+    function = {x.encode() for x in weak_labels.FUNCTION_WORDS}
+    windows = list(zip(w, w[1:], w[2:]))
+    lean = n + weak_labels.USUAL_WORDS
+    count = lambda test: sum(map(test, w))
+    return [
+        sum(c in b"#*$%&|<>" for c in all_) / max(1, len(all_)), sum(65 <= c <= 90 for c in all_) / max(1, len(all_)), sum(a == b for a, b in zip(w, w[1:])) / lean,
+        1 - len(set(windows)) / len(windows) if windows else 0.0, count(lambda x: len(x) > 1 and x[-1] in b"!?" and x[-2] in b"!?") / lean,
+        1 - (count(lambda x: low(x) in function) + weak_labels.USUAL_FUNCTION * weak_labels.USUAL_WORDS) / lean,
+        1 - (count(lambda x: x[-1] in b".!?") + weak_labels.USUAL_ENDS * weak_labels.USUAL_WORDS) / lean, count(lambda x: any(c in b"#*$%&|<>" for c in x)) / lean,
+    ]
+
+
+def plain_votes(text):
+    if not (text or "").strip(" \t\n\x0b\x0c\r"):
+        return "2" * len(weak_labels.LABELLERS)
+    return "".join("0" if s > bad else "1" if s <= good else "2" for s, (bad, good) in zip(plain_statistics(text), weak_labels.LABELLERS.values()))
+
+
+def plain_em(votes):
+    """Expectation-maximisation row by row, with the module's start and pseudo-counts; posteriors per row."""
+    k = len(weak_labels.LABELLERS)
+    start = {1: (0.01, 0.84, 0.15), 0: (0.40, 0.35, 0.25)}
+    rate = {(i, c, v): start[c][v] for i in range(k) for c in (0, 1) for v in (0, 1, 2)}
+    prior, pseudo = 0.8, max(1.0, 0.01 * len(votes))
+
+    def posterior(vote):
+        like = [1 - prior, prior]
+        for i, v in enumerate(map(int, vote)):
+            for c in (0, 1):
+                like[c] *= rate[i, c, v] if v != 2 else 1
+        return like[1] / sum(like)
+
+    for _ in range(100):
+        p = [posterior(v) for v in votes]
+        fresh = {}
+        for c in (0, 1):
+            weight = [x if c else 1 - x for x in p]
+            for i in range(k):
+                for v in (0, 1, 2):
+                    seen = sum(w for w, vote in zip(weight, votes) if int(vote[i]) == v)
+                    fresh[i, c, v] = (seen + pseudo * start[c][v]) / (sum(weight) + pseudo)
+        if max(abs(fresh[x] - rate[x]) for x in rate) < 1e-9:
+            break
+        rate, prior = fresh, (sum(p) + 0.8) / (len(votes) + 1)
+    return [posterior(v) for v in votes]
+
+
+def plain_scores(texts, targets):
+    """Logistic regression with dictionaries of hashed word shapes; scores of the texts."""
+    cls = lambda c: 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c
+    hashed = lambda x: int(weak_labels.Words([x]).hashes()[0])
+    mix = lambda x: int(weak_labels.mix(np.array([x % (1 << 64)], np.uint64))[0])
+    bags = []
+    for t in texts:
+        w = [x for x in re.split(rb"[ \t\n\x0b\x0c\r]+", (t or "").encode()) if x]
+        bag, before, last = {}, 1, None
+        for x in w:
+            kinds = list(map(cls, x))
+            shape = hashed(bytes(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1]))
+            for place in (shape, mix(before * 0x9E3779B97F4A7C15 + shape + (x == last))):
+                bag[place % weak_labels.FEATURES] = bag.get(place % weak_labels.FEATURES, 0) + 1 / (len(w) + weak_labels.USUAL_WORDS)
+            before, last = shape, x
+        bags.append(bag)
+    weight, seen, bias, bias_seen = {}, {}, 0.0, 1e-8
+    used = [i for i, b in enumerate(bags) if b]
+    for _ in range(weak_labels.ROUNDS):
+        error = {i: 1 / (1 + np.exp(-(sum(x * weight.get(k, 0.0) for k, x in bags[i].items()) + bias))) - targets[i] for i in used}
+        gradient = {k: 1e-6 * v for k, v in weight.items()}
+        for i in used:
+            for k, x in bags[i].items():
+                gradient[k] = gradient.get(k, 0.0) + x * error[i] / len(used)
+        for k, g in gradient.items():
+            seen[k] = seen.get(k, 1e-8) + g * g
+            weight[k] = weight.get(k, 0.0) - 0.5 * g / seen[k] ** 0.5
+        step = sum(error.values()) / len(used)
+        bias_seen += step**2
+        bias -= 0.5 * step / bias_seen**0.5
+    return [1 / (1 + np.exp(-(sum(x * weight[k] for k, x in b.items()) + bias))) if b else 0.0 for b in bags]
+
+
+def test_classifier_like_brute_force(spark, monkeypatch, tmp_path):
+    """Votes, label model and scorer against plain versions of all three, rows repeated and texts missing."""
+    monkeypatch.setattr(weak_labels, "ROUNDS", 25)
+    monkeypatch.setattr(weak_labels.train, "__defaults__", (25,))
+    texts = [r[1][:400] for r in table(60, 11)] + [None, "", "é ÉÀ 12ab!! ok?? a1b2 der ## x", "a", "a a a", "Good. Good. Good."]
+    rows = list(enumerate(texts)) + [(3, texts[3])] * 4
+    spark.createDataFrame([(*r, "l", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(weak_labels.op10_weak_label_quality(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    rows.sort(key=lambda r: r[0])
+    votes = [plain_votes(t) for _, t in rows]
+    assert [r.votes for r in got] == votes
+    want = plain_scores([t for _, t in rows], plain_em(votes))
+    assert np.allclose([r.score for r in got], want, atol=1e-5)
+    assert [r.kept for r in got] == [s >= weak_labels.KEEP for s in want]
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(weak_labels, "TRAINING_DOCS", 50)
+    monkeypatch.setattr(weak_labels, "TRAINING_FEATURES", 2000)
+    seen = []
+    monkeypatch.setattr(weak_labels, "train", lambda places, values, targets, counts: seen.append((len(places), sum(map(len, places)), counts.sum())) or np.zeros(weak_labels.FEATURES + 1))
+    rows = [(r[0], r[1]) for r in table(300, 13)]
+    weak_labels.fit(spark.createDataFrame(rows + [(5, "the same text again and again")] * 500, "doc_id long, text string"))
+    weak_labels.fit(spark.createDataFrame([(5, "the same text again and again")] * 500, "doc_id long, text string"))
+    assert 0 < seen[0][0] <= 50 and seen[0][1] <= 2000
+    assert seen[1][0] == 1 and seen[1][2] == 500
+
+
 @pytest.mark.parametrize("bound", [10_000, 200])
 def test_classifier_on_held_out_kinds(spark, monkeypatch, bound):
     monkeypatch.setattr(weak_labels, "TRAINING_DOCS", bound)
     rows = table(900, 3)
     odd = [(-1, None, "en", "a", 0), (-2, " \n", "en", "a", 0), (-3, "Good.", "en", "a", 0), (-4, "wide and so on " * 20_000, "en", "a", 0), (None, rows[1][1], "en", "a", 0), (None, rows[1][1], "en", "a", 0)]
     df = spark.createDataFrame([(*r[:5], True, 1.0) for r in rows] + [(*r, True, 1.0) for r in odd], DOCS)
-    got = weak_labels.classify(df, columns=("lang",)).collect()
+    clash = df.withColumnsRenamed({"d2": "score"}).withColumn("votes", F.lit("mine")).withColumn("h", F.lit(1))
+    got = weak_labels.classify(clash, columns=("lang", "score", "votes", "kept", "h")).collect()
     assert len(got) == len(rows) + len(odd)
     kept = {r.doc_id: r.kept for r in got}
     kinds = {r[0]: r[5] for r in rows}
