@@ -119,20 +119,24 @@ def test_urls_like_brute_force(spark, monkeypatch, broadcast):
     assert {r.verdict for r in urls.filter_urls(df, []).collect()} == {"allow"}
 
 
-def test_top_k_like_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("group_bytes", [1 << 25, 100])
+def test_top_k_like_brute_force(spark, monkeypatch, group_bytes):
+    """On one band and on many; repeated and odd rows; columns of the result's names."""
     import random
 
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "GROUP_BYTES", group_bytes)
     rng = random.Random(4)
-    rows = [(i, [rng.choice([-1.5, 0.0, 0.0, 0.25, 2.0]) for _ in range(6)]) for i in range(90)]
-    rows += [(90, None), (91, [1.0, None]), (92, [float("nan")]), (93, [float("inf"), 1.0]), (None, [1.0]), (94, []), (95, [1.0, 2.0]), (10, rows[10][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, [rng.choice([-1.5, 0.0, 0.0, 0.25, 2.0, 900.0]) for _ in range(6)]) for i in range(90)]
+    rows += [(90, None), (91, [1.0, None]), (92, [float("nan")]), (93, [float("inf"), 1.0]), (None, [1.0]), (94, []), (95, [1.0, 2.0, 1e7])]
+    rows += [(10, rows[10][1]), (11, rows[11][1]), (11, rows[11][1]), (20, [4.0] * 6)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, score int, rank int, query_id int, block int")
     got = sorted(tuple(r) for r in topk.exact_top_k(df.filter("vec_id % 10 = 0"), df, 7).select("query_id", "rank", "vec_id", "score").collect())
-    good = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in [i for i in good if i % 10 == 0]:
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:7]
+    for q, v in {(i, tuple(v)) for i, v in good if i % 10 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:7]
         want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     assert got == sorted(want)
-    assert topk.exact_top_k(df.limit(0), df, 3).count() == 0
+    assert topk.exact_top_k(df.limit(0), df, 3).count() == 0 and topk.exact_top_k(df, df.limit(0), 3).count() == 0
