@@ -14,6 +14,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from ._shared import table
 WINDOW = 64
 #: Characters that are normalised and cut at a time.
 CHUNK = 1 << 16
-#: Words whose tokens are remembered; the memory starts anew when it is full.
-MEMO = 1 << 18
+#: Pieces of text whose tokens are remembered, of so many characters at most; the memory starts anew when it is full.
+MEMO, MEMO_CHARS = 1 << 18, 256
+#: Marks after which a letter begins a word, besides white space: chunks of text without spaces may end there.
+WIDE_MARKS = frozenset("。，、！？；：」』）")
+# Fixed value: the words of byte-level files that don't state a pattern.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = 1 << 60
 
 # Letters and numbers that Unicode gained after version 16, which the tokenizer library's tables lack,
@@ -109,10 +114,14 @@ class BpeModel:
         self.steps = [n["type"] for n in (normalizer["normalizers"] if normalizer and normalizer["type"] == "Sequence" else [normalizer] if normalizer else [])]
         if unknown := set(self.steps) - {"NFC", "Replace", "Lowercase"}:
             raise ValueError(f"normalizers that aren't supported: {sorted(unknown)}")
-        splits = [p for p in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if p["type"] == "Split"]
-        if not splits:
-            raise ValueError("the file has no Split pattern")
-        pattern = splits[0]["pattern"]["Regex"]
+        cutters = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        splits = [p["pattern"]["Regex"] for p in cutters if p["type"] == "Split"]
+        byte_level = [BYTE_LEVEL_WORDS for p in cutters if p["type"] == "ByteLevel" and p.get("use_regex") and not p.get("add_prefix_space")]
+        if not splits + byte_level:
+            raise ValueError("the file states no pattern of words")
+        pattern = (splits + byte_level)[0]
+        #: Whether words hold white space; else it is dropped.
+        self.spaced = not splits
         self.words = regex.compile(pattern)
         # The same classes without the later letters and numbers; those count as other characters.
         dated = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", "OTHER")
@@ -120,6 +129,12 @@ class BpeModel:
         self.words_as_dated = regex.compile("(?V1)" + dated.replace("OTHER", rf"(?:[^\s\p{{L}}\p{{N}}]|{LATER.pattern})"))
         self.to_symbols = byte_alphabet()
 
+    @cached_property
+    def beginnings(self) -> set[str]:
+        """What a token can begin with, itself excluded."""
+        plain = (t.removesuffix(self.suffix) for t in self.vocab)
+        return {t[:i] for t in plain for i in range(1, len(t))}
+
     def _symbols(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix and token != self.suffix else len(token)
 
@@ -177,14 +192,21 @@ class Transducer:
     def _stable(self) -> Iterator[str]:
         # The last symbol may turn out to end the word and so be another one: it isn't known yet.
         known = self.held[:-1]
-        common = self.model.merge(list(known))
-        for b in range(len(known) - self.model.longest_token + 1, len(known)):
-            other = self.model.merge(list(known[:b]))
+        whole = common = self.model.merge(list(known))
+        text = "".join(known[-self.model.longest_token :])
+        for back in range(1, len(text)):
+            # A token that reaches into the unseen part begins with what is known of it.
+            if text[-back:] not in self.model.beginnings:
+                continue
+            other = self.model.merge(list(known[: len(known) - back]))
             n = next((i for i, (x, y) in enumerate(zip(common, other)) if x != y), min(len(common), len(other)))
             common = common[:n]
         n = sum(map(len, common))
+        # What lies further back than the merge list's lookahead is final in any case, so the buffer is bounded.
+        while n < len(known) - self.model.lookahead:
+            common = whole[: len(common) + 1]
+            n += len(common[-1])
         self.held = self.held[n:]
-        # Without a stable token the buffer grows, up to the lookahead, beyond which the first token is stable.
         self.next_look = self.window if n else min(2 * self.next_look, self.model.lookahead + 2 * self.window)
         yield from common
 
@@ -229,16 +251,18 @@ class StreamDecoder:
 
 
 class _Memo(dict):
-    """What ``make`` gives for a key; it starts anew when it holds MEMO entries."""
+    """What ``make`` gives for a key; it starts anew when it holds MEMO entries, and long keys aren't held."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = out
         return out
 
 
@@ -249,6 +273,7 @@ class Codec:
         self.model = BpeModel(path)
         self.translate = {b: ord(c) for b, c in self.model.to_symbols.items()}
         self.ids_of = _Memo(lambda word: " ".join(map(str, self.word_ids(word))))
+        self.ids_of_piece = _Memo(lambda piece: " ".join(map(self.ids_of.__getitem__, self.model.cut(self.model.normalise(piece)))))
         self.text_of = _Memo(self.piece_text)
 
     def word_ids(self, word: str) -> list[int]:
@@ -261,27 +286,48 @@ class Codec:
         d = StreamDecoder(self.model)
         return "".join(d.feed(map(int, ids.split(" ")))) + d.finish()
 
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """Ids of the text, joined by spaces word by word, for one chunk after another. Chunks end at white space,
-        which no word, no added token and no composed character contains."""
-        model = self.model
+    def _parts(self, text: str, i: int) -> bool:
+        """Whether a word or white space begins at ``i`` whatever comes before and after, and no composed character or
+        added token lies across it."""
+        if text[i - 1] in WIDE_MARKS and text[i].isalpha():
+            return True
+        if self.model.spaced:  # a single space belongs to the word after it
+            return text[i] in " \n" and not text[i - 1].isspace() and i + 1 < len(text) and not text[i + 1].isspace()
+        return text[i] in " \n\t\r"
+
+    def chunks(self, text: str) -> Iterator[str]:
+        """The text in chunks of CHUNK characters, or as many more as an unbroken word has."""
         at = 0
         while at < len(text):
             end = at + CHUNK
-            if end < len(text):
-                end = next((i for i in range(end, at, -1) if text[i] == " "), None) or text.find(" ", at + CHUNK)
-                end = len(text) if end < 0 else end
-            chunk, at = text[at:end], end
+            if end >= len(text):
+                end = len(text)
+            else:
+                end = next((i for i in range(end, at, -1) if self._parts(text, i)), 0) or next((i for i in range(end + 1, len(text)) if self._parts(text, i)), len(text))
+            yield text[at:end]
+            at = end
+
+    def _plain(self, text: str) -> list[str]:
+        """Ids of a text without added tokens, in pieces. Where white space is dropped, what lies between spaces is
+        encoded by itself: no word, and no composed character, holds one."""
+        if self.model.spaced:
+            return [self.ids_of[w] for w in self.model.cut(self.model.normalise(text))]
+        return list(filter(None, map(self.ids_of_piece.__getitem__, text.replace("\n", " ").split(" "))))
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """Ids of the text, joined by spaces piece by piece, for one chunk after another."""
+        model = self.model
+        for chunk in self.chunks(text):
             if model.special_pattern and model.special_pattern.search(chunk):
                 out: list[str] = []
                 last = 0
                 for m in model.special_pattern.finditer(chunk):
-                    out += map(self.ids_of.__getitem__, model.cut(model.normalise(chunk[last : m.start()])))
+                    out += self._plain(chunk[last : m.start()])
                     out.append(str(model.special[m[0]]))
                     last = m.end()
-                yield out + [self.ids_of[w] for w in model.cut(model.normalise(chunk[last:]))]
+                yield out + self._plain(chunk[last:])
             else:
-                yield [self.ids_of[w] for w in model.cut(model.normalise(chunk))]
+                yield self._plain(chunk)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for part in self.pieces(text) for piece in part for i in piece.split(" ")]
@@ -294,7 +340,7 @@ class Codec:
         """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the text that they decode to. ``gather`` gets
         the ids, joined by spaces, piece by piece."""
         n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-        joiner = "" if self.model.byte_level_decoder else " "
+        decoder = StreamDecoder(self.model)
         sep = False
         for part in self.pieces(text):
             if not part:
@@ -303,16 +349,17 @@ class Codec:
             n += ids.count(" ") + 1
             if gather is not None:
                 gather.append(ids)
-            decoded = joiner.join([self.text_of[p] for p in part]) if joiner else None
             if sep:
                 ids_sha.update(b" ")
-                text_sha.update(joiner.encode())
             ids_sha.update(ids.encode())
-            if decoded is not None:
-                text_sha.update(decoded.encode())
+            if self.model.byte_level_decoder:
+                # A character may lie across tokens, pieces and chunks: the decoder's state goes on.
+                text_sha.update("".join(decoder.feed(map(int, ids.split(" ")))).encode())
+            else:
+                # Tokens are whole texts joined by spaces, so that those of a piece can be remembered.
+                text_sha.update(b" " * sep + " ".join(map(self.text_of.__getitem__, part)).encode())
             sep = True
-        if not joiner:
-            text_sha.update(self.decode(self.encode(text)).encode())
+        text_sha.update(decoder.finish().encode())
         return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
@@ -339,7 +386,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     Whole texts are encoded, special tokens in a text included; decoding starts from the ids. A null text counts as
     empty: no ids, and the digests are those of the empty string. Repeated rows and null keys are rows of their own.
-    Other columns aren't read. An empty table gives an empty result. Memory: one Arrow batch and MEMO words.
+    Other columns aren't read. An empty table gives an empty result. Memory: one Arrow batch, MEMO pieces, a chunk of a
+    text and its longest word.
     """
     name = ship(docs.sparkSession, path)
     key_type = docs.schema[key].dataType.simpleString()
