@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, remove_at_end, shared_folder, written
 
-__all__ = ["ASCII_SPACE", "Scratch", "lookup", "remove_at_end", "salted_lookup", "shared_folder", "table", "text_bytes", "written"]
+__all__ = ["ASCII_SPACE", "Scratch", "lookup", "remove_at_end", "salted_lookup", "shared_folder", "table", "text_bytes", "with_heavy", "written"]
 
 #: Word separators: space and the ASCII controls from tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -41,6 +41,19 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread
     return left.join(right, on, how).drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
 
 
+#: A hash that more than one in so many rows share is heavy; so there are no more heavy ones than this.
+HEAVY_SHARE = 4096
+
+
+def with_heavy(df: DataFrame, h: str, name: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with the boolean ``name``: whether more than one in HEAVY_SHARE rows, and more than HEAVY_SHARE, have the
+    hash in column ``h``. Hashes are counted with partial sums; at most HEAVY_SHARE of them are sent back to the rows."""
+    counts = df.groupBy(F.col(h).alias("__heavy_h")).agg(F.count(F.lit(1)).alias("n"))
+    most = keep(counts.filter(F.col("n") > max(HEAVY_SHARE, df.count() // HEAVY_SHARE)).select("__heavy_h"))
+    marked = df.join(F.broadcast(most), F.col(h) == F.col("__heavy_h"), "left")
+    return marked.withColumn(name, F.col("__heavy_h").isNotNull()).drop("__heavy_h")
+
+
 def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SALTS, table, text_bytes, written
+from ._shared import SALTS, table, text_bytes, with_heavy, written
 
 SEED = 17
 #: A mean above this is split into equal parts, whose Poisson counts add up; the inverted tables stay short.
@@ -65,7 +65,7 @@ def replicate(docs: DataFrame, weights: Mapping[str, float], epochs: float = 1.0
     order is a fixed random one over all sources, and a rerun gives the same.
 
     A null source is a source of its own. Null keys are told apart by their text. Repeated rows get the same number
-    of copies each. Columns named ``rate``, ``copies`` or ``copy_no`` are replaced. An empty table gives none.
+    of copies each; very many of one key are dealt over the output by their place in the input. Columns named ``rate``, ``copies`` or ``copy_no`` are replaced. An empty table gives none.
     """
     spark = docs.sparkSession
     new = ["rate", "copies", "copy_no"]
@@ -77,6 +77,8 @@ def replicate(docs: DataFrame, weights: Mapping[str, float], epochs: float = 1.0
         .withColumn("__table", poisson_table(F.col("rate") / F.col("__parts")))
     )
     identity = F.coalesce(F.col(key).cast("string"), F.md5(F.col(text)))
+    plain = docs.columns
+    docs = with_heavy(docs.withColumn("__h", F.xxhash64(identity)).withColumn("__place", F.monotonically_increasing_id()), "__h", "__heavy", written)
     if rates.count() <= BROADCAST_SOURCES:
         rated = docs.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("__source")))
     else:
@@ -88,10 +90,10 @@ def replicate(docs: DataFrame, weights: Mapping[str, float], epochs: float = 1.0
     many = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + drawn(j))
     counted = rated.withColumn("copies", F.when(F.col("__parts") == 1, one).otherwise(many)).filter(F.col("copies") > 0)
     copied = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    order = F.xxhash64(identity, F.col("copy_no"), F.lit(seed))
+    order = F.xxhash64(identity, F.col("copy_no"), F.lit(seed), F.when(F.col("__heavy"), F.col("__place")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shuffled = copied.withColumn("__order", order).repartition(n, "__order").sortWithinPartitions("__order")
-    return shuffled.select(*docs.columns, *new)
+    return shuffled.select(*plain, *new)
 
 
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ a new version. Only per-slot totals reach the driver; their number is the parame
 from __future__ import annotations
 
 import bisect
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import shared_folder, table, text_bytes
+from ._shared import Scratch, table, text_bytes, with_heavy, written
 
 N_SLOTS = 16_384
 ROW_OVERHEAD = 16
@@ -59,13 +59,14 @@ class SlotMap:
             if len(order) < 2 or loads[order[-1]] - loads[order[0]] <= slack:
                 break
             full = order[-1]
-            for empty in order[:-1]:
-                step = _best_step(held[full], held[empty], loads[full] - loads[empty])
-                if step:
-                    break
-            else:
-                stuck.add(full)  # nothing on it can narrow any gap
+            # A few of its slots are tried first, and all of them before it is left alone.
+            tried = ((s, e) for s in sorted({max(1, len(held[full]) // 64), 1}, reverse=True) for e in order[:-1])
+            found = ((e, _best_step(held[full], held[e], loads[full] - loads[e], s)) for s, e in tried)
+            empty, step = next(((e, step) for e, step in found if step), (full, None))
+            if not step:
+                stuck.add(full)  # nothing on it can narrow any gap while the others stay
                 continue
+            stuck.clear()
             give, take = step
             for item, a, b in ((give, full, empty), (take, empty, full)):
                 if item:
@@ -82,14 +83,15 @@ class SlotMap:
         return spark.createDataFrame(rows, "version int, virtual_slot int, shard int, n_shards int")
 
 
-def _best_step(full: list[tuple[int, int]], empty: list[tuple[int, int]], gap: int):
-    """The move or swap that leaves the two shards closest to each other, or None if none narrows the gap."""
+def _best_step(full: list[tuple[int, int]], empty: list[tuple[int, int]], gap: int, stride: int = 1):
+    """The move, or the swap of every ``stride``-th slot, that leaves the two shards closest to each other, or None if
+    none narrows the gap."""
     best, best_left = None, gap
     i = bisect.bisect_left(full, (gap // 2, -1))
     for item in full[max(0, i - 1) : i + 1]:
         if abs(gap - 2 * item[0]) < best_left:
             best, best_left = (item, None), abs(gap - 2 * item[0])
-    for item in full[:: max(1, len(full) // 64)]:
+    for item in full[::stride]:
         j = bisect.bisect_left(empty, (item[0] - gap // 2, -1))
         for other in empty[max(0, j - 1) : j + 1]:
             left = abs(gap - 2 * (item[0] - other[0]))
@@ -119,48 +121,53 @@ class SlotMapStore:
         return SlotMap(tuple(r.shard for r in rows), rows[0].n_shards, version)
 
 
-def virtual_slot(keys: Sequence[str], n_slots: int) -> Column:
-    """The slot of a record. Records whose first key is null are told apart by the others."""
-    return F.pmod(F.xxhash64(*keys), F.lit(n_slots)).cast("int")
+NEW = ("size", "text_crc32", "virtual_slot", "shard", "slot", "map_version")
 
 
-def assign_shards(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``text_crc32``, ``virtual_slot``, ``shard``, ``slot`` (place in the shard, gapless from
-    0) and ``map_version``.
+def sized_records(docs: DataFrame, n_slots: int, key: str, text: str, carry: Sequence[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Written key, ``carry``, ``size``, ``text_crc32`` and ``virtual_slot`` of each row.
 
-    Two passes: sizes are summed per slot (at most ``n_slots`` rows leave the executors), the map is rebalanced on
-    them and stored, and the second pass looks each record's slot up in it. Places come from the slots' row counts and
-    the order (key, crc32, size) inside a slot, so no task sees a whole shard; only the key and two numbers are sorted.
+    A record's slot is a hash of its key, or of its checksum where the key is null. Rows of a key or checksum that is
+    heavy are told apart by their place as well and so spread over all slots: one slot can't be split.
+    """
+    crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
+    carried = [c for c in carry if c != key and c not in NEW]
+    rows = docs.select(F.col(key), *carried, (text_bytes(text) + ROW_OVERHEAD).alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("__place"))
+    rows = keep(rows.withColumn("__h", F.when(F.col(key).isNull(), F.xxhash64("text_crc32")).otherwise(F.xxhash64(key))))
+    marked = with_heavy(rows, "__h", "__heavy", keep)
+    h = F.when(F.col("__heavy"), F.xxhash64("__h", "__place")).otherwise(F.col("__h"))
+    return keep(marked.select(key, *carried, "size", "text_crc32", F.pmod(h, F.lit(n_slots)).cast("int").alias("virtual_slot")))
+
+
+def assign_shards(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, key: str = "doc_id", text: str = "text", folder: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Key, the columns ``carry``, ``size``, ``text_crc32``, ``virtual_slot``, ``shard``, ``slot`` (place in the shard,
+    gapless from 0) and ``map_version`` of each row.
+
+    Sizes are taken once and summed per slot (at most ``n_slots`` rows leave the executors), the map is rebalanced on
+    them and stored, and each record's slot is looked up in it. Places come from the slots' row counts and the order
+    (key, crc32, size) inside a slot, so no task sees a whole shard; only the key and two numbers are sorted.
 
     Nulls: a null text counts as empty (16 bytes, crc 0); null keys hash with the text's checksum, so that they spread.
-    Repeated rows are rows of their own. Columns of ``docs`` with the names above are replaced. An empty table gives
-    an empty result.
+    Repeated rows are rows of their own, and very many of one key are dealt over all slots. Columns of ``docs`` that
+    aren't named aren't read, and carried ones with the names above are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    new = ["size", "text_crc32", "virtual_slot", "shard", "slot", "map_version"]
-    content = F.coalesce(F.col(text), F.lit(""))
-    crc = F.crc32(F.encode(content, "UTF-8"))
-    sized = docs.select(
-        *[c for c in docs.columns if c not in new],
-        (text_bytes(text) + ROW_OVERHEAD).alias("size"),
-        crc.alias("text_crc32"),
-        F.when(F.col(key).isNull(), F.pmod(F.xxhash64(crc), F.lit(n_slots)).cast("int")).otherwise(virtual_slot([key], n_slots)).alias("virtual_slot"),
-    )
-    totals = sized.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # n_slots rows at most
-    store = SlotMapStore(spark, folder or shared_folder(spark))
-    first = store.save(SlotMap.initial(n_slots, n_shards))
-    current = store.save(first.rebalanced({r.virtual_slot: r["size"] for r in totals}))
-    counts = {r.virtual_slot: r.n for r in totals}
-    filled, rows = [0] * n_shards, []
-    for slot, owner in enumerate(store.load(current.version).owners):
-        rows.append((slot, owner, filled[owner], current.version))
-        filled[owner] += counts.get(slot, 0)
-    owners = spark.createDataFrame(rows, "virtual_slot int, shard int, __offset long, map_version int")
-    inside = Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")
-    placed = sized.withColumn("__rank", F.row_number().over(inside) - 1)
-    joined = placed.join(F.broadcast(owners), "virtual_slot")  # n_slots rows
-    keep = [c for c in sized.columns]
-    return joined.select(*keep, "shard", (F.col("__offset") + F.col("__rank")).cast("long").alias("slot"), "map_version")
+    with Scratch(spark) as scratch:
+        sized = sized_records(docs, n_slots, key, text, carry, scratch.written)
+        totals = sized.groupBy("virtual_slot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # n_slots rows at most
+        store = SlotMapStore(spark, folder or scratch.folder())
+        first = store.save(SlotMap.initial(n_slots, n_shards))
+        current = store.save(first.rebalanced({r.virtual_slot: r["size"] for r in totals}))
+        counts = {r.virtual_slot: r.n for r in totals}
+        filled, rows = [0] * n_shards, []
+        for slot, owner in enumerate(store.load(current.version).owners):
+            rows.append((slot, owner, filled[owner], current.version))
+            filled[owner] += counts.get(slot, 0)
+        owners = spark.createDataFrame(rows, "virtual_slot int, shard int, __offset long, map_version int")
+        inside = Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")
+        placed = sized.withColumn("__rank", F.row_number().over(inside) - 1)
+        joined = placed.join(F.broadcast(owners), "virtual_slot")  # n_slots rows
+        return written(joined.select(*sized.columns, "shard", (F.col("__offset") + F.col("__rank")).cast("long").alias("slot"), "map_version"))
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

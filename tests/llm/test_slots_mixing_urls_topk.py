@@ -1,9 +1,12 @@
 """Sharding, mixing, URL filters and top-k against plain Python on small tables with odd rows."""
 
 import math
+import struct
 import zlib
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from flowspark.llm import mixing, slots, topk, urls
 
@@ -21,7 +24,7 @@ ROWS = [
 
 
 def test_shards_are_near_equal_gapless_and_whole(spark):
-    out = slots.assign_shards(spark.createDataFrame(ROWS, DOCS), 5, n_slots=512).collect()
+    out = slots.assign_shards(spark.createDataFrame(ROWS, DOCS), 5, n_slots=512, carry=("text", "shard", "doc_id")).collect()
     assert len(out) == len(ROWS)
     places = {}
     for r in out:
@@ -35,6 +38,61 @@ def test_shards_are_near_equal_gapless_and_whole(spark):
     assert slots.assign_shards(spark.createDataFrame([], DOCS), 5).count() == 0
 
 
+def plain_slots(rows, n_shards, n_slots):
+    """Virtual slot, shard and place of each row: plain hashing, moves and swaps over all pairs of slots."""
+    hashed = lambda v: xxhash.xxh64(struct.pack("<q", v), seed=42).intdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    made = []
+    for key, text in rows:
+        data = (text or "").encode()
+        crc = zlib.crc32(data)
+        made.append((signed(hashed(crc if key is None else key)) % n_slots, key, crc, len(data) + 16))
+    sizes = {}
+    for s, _, _, n in made:
+        sizes[s] = sizes.get(s, 0) + n
+    owner = [s % n_shards for s in range(n_slots)]
+    load = lambda s: sum(n for slot, n in sizes.items() if owner[slot] == s)
+    return made, sizes, owner, load
+
+
+def test_assignment_like_a_plain_version(spark):
+    """Hashes, sizes, loads and places are computed anew; no move or swap is left that would bring two shards closer."""
+    rows = [(r[0], r[1]) for r in ROWS if r[0] != 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = slots.assign_shards(df, 3, n_slots=64).collect()
+    made, sizes, _, _ = plain_slots(rows, 3, 64)
+    order = lambda x: (x[0], x[1] is not None, x[1] or 0, *x[2:])
+    assert sorted(((r.virtual_slot, r.doc_id, r.text_crc32, r["size"]) for r in out), key=order) == sorted(made, key=order)
+    owner = {r.virtual_slot: r.shard for r in out}
+    assert all(owner[r.virtual_slot] == r.shard for r in out)
+    for s in range(3):
+        mine = sorted((r for r in out if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        keys = [(r.virtual_slot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]) for r in mine]
+        assert keys == sorted(keys)
+    loads = [sum(n for s, n in sizes.items() if owner[s] == k) for k in range(3)]
+    slack = max(1, round(1e-4 * sum(loads) / 3))
+    for a in range(3):
+        for b in range(3):
+            gap = loads[a] - loads[b]
+            if gap <= slack:
+                continue
+            mine, theirs = ([n for s, n in sizes.items() if owner[s] == k] for k in (a, b))
+            assert all(abs(gap - 2 * (x - y)) >= gap for x in mine for y in [0, *theirs] if x > y)
+
+
+def test_rows_of_one_key_spread(spark):
+    """A third of the rows under one key, and as many under none with one text, fill no single slot, and loads stay equal."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.lit("some text").alias("text"))
+    out = slots.assign_shards(rows, 8, n_slots=512)
+    assert out.groupBy("virtual_slot").count().agg(F.max("count")).first()[0] < 150
+    loads = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(loads) - min(loads) <= 0.01 * sum(loads) / 8
+    docs = rows.withColumn("lang", F.lit("en")).withColumn("source", F.lit("a"))
+    mixed = mixing.replicate(docs, {"a": 1.0}, epochs=2.0)
+    assert mixed.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0] < 0.5 * mixed.count()
+
+
 def test_slot_map_versions_are_edits(spark, tmp_path):
     first = slots.SlotMap.initial(64, 4)
     sizes = {s: 10 + s % 7 for s in range(64)}
