@@ -34,11 +34,8 @@ SAMPLES = BANDS * ROWS
 LEAST_AGREEMENT = 0.55
 #: Bytes of text in a block, and those whose shingles a range's task counts: there are as many ranges as keep it so.
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 64 << 20
-#: Rounds in which members of buckets that hold several classes are compared with one more member of the largest class;
-#: they end sooner when a round leaves more than this share of members outside the largest classes.
-LEADER_ROUNDS, LEADER_SHARE = 2, 0.9
 #: Members of a band's bucket that meet as many others in one group of rows, in expectation.
-CHUNK = 128
+CHUNK = 256
 
 HASH_BITS = 48
 
@@ -386,8 +383,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     Rows are in one class if their texts are equal or linked by a chain of texts whose weighted Jaccard similarity,
     over TF-IDF weighted five-word shingles, is ``threshold`` or more. First every member of a bucket is compared with
-    the bucket's first member, and in some rounds with members of its largest class; then, in buckets that still hold
-    several classes, all pairs in different classes are compared, in cells. So within buckets no link between classes is lost, and no group is expanded into its pairs.
+    the bucket's first member; then, in buckets that still hold several classes, all pairs in different classes are
+    compared, in cells. So within buckets no link between classes is lost, and no group is expanded into its pairs.
 
     Equal texts are one class, empty ones too; a text without words is like no other. A null text is a class by
     itself, with a null ``node``. Rows with a null key take part; the class's id is the least key that isn't null, or
@@ -414,22 +411,12 @@ def _classes(docs: DataFrame, threshold: float, frequency: Frequency, keep: Call
     pairs = keep(bands.join(leaders, ["band", "value"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct())
     links = _links(pairs, sketched, threshold, keep)
     bucketed = keep(bands.join(leaders, ["band", "value"], "left_semi"))
-    before = None
-    for r in range(LEADER_ROUNDS + 1):
-        labels = keep(components(links.select("a", "b"), keep))
-        # Buckets that hold several classes; the members of one of two have been compared already.
-        labelled = keep(bucketed.join(labels, "node", "left").select("band", "value", "node", F.coalesce("label", "node").alias("label")))
-        mixed = _mixed(labelled, keep)
-        members = keep(labelled.join(mixed.select("band", "value", "top"), ["band", "value"]))
-        minor = mixed.agg(F.sum("m")).first()[0] or 0
-        if r == LEADER_ROUNDS or not minor or before and minor > LEADER_SHARE * before:
-            break
-        before = minor
-        # Each round another member of the largest class, so that what one member misses the next may link.
-        hub = members.filter("label = top").groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), F.col("node").alias("n"))).alias("h"))
-        pairs = members.filter("label <> top").join(hub, ["band", "value"]).select(F.col("h.n").alias("a"), F.col("node").alias("b"))
-        links = keep(links.unionByName(_links(keep(pairs.distinct()), sketched, threshold, keep)))
-    more = _links_across(members.drop("top"), sketched, threshold, keep)
+    labels = keep(components(links.select("a", "b"), keep))
+    # Buckets that hold several classes; the members of one of two have been compared already.
+    labelled = keep(bucketed.join(labels, "node", "left").select("band", "value", "node", F.coalesce("label", "node").alias("label")))
+    mixed = labelled.groupBy("band", "value").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("size"))
+    members = keep(labelled.join(mixed.filter("l1 < l2 and size > 2").select("band", "value"), ["band", "value"]))
+    more = _links_across(members, sketched, threshold, keep)
     if not more.isEmpty():
         labels = keep(components(links.unionByName(more).select("a", "b"), keep))
     placed = keep(groups.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")))
