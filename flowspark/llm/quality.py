@@ -329,9 +329,9 @@ def keep_by_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     # Columns of the caller are carried in a struct, so that none can clash.
     whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), F.col(source).alias("__source"))
     named = params.withColumnsRenamed({lang: "__lang", source: "__source"})
-    stats = vectors(statistics(whole, "__text")).filter(~F.col("base_failed"))
-    judged = _distance(lookup(stats, named, ["__lang", "__source"], F.xxhash64("__key", *FLOORS)), list(FLOORS))
-    return judged.filter(F.col("d2") <= CUTOFF).select("__row.*")
+    # The verdict needs both sides of the join, so that no part of it is evaluated below a second time.
+    judged = _distance(lookup(vectors(statistics(whole, "__text")), named, ["__lang", "__source"], F.xxhash64("__key", *FLOORS)), list(FLOORS))
+    return judged.filter(F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("d2") <= CUTOFF)).select("__row.*")
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
