@@ -28,7 +28,7 @@ from ._shared import table
 WINDOW = 64
 #: Characters that are normalised and cut at a time.
 CHUNK = 1 << 16
-#: Pieces of text whose tokens are remembered, of so many characters at most; the memory starts anew when it is full.
+#: Words whose tokens are remembered, of so many characters at most; the memory starts anew when it is full.
 MEMO, MEMO_CHARS = 1 << 18, 256
 #: Marks after which a letter begins a word, besides white space: chunks of text without spaces may end there.
 WIDE_MARKS = frozenset("。，、！？；：」』）")
@@ -273,7 +273,6 @@ class Codec:
         self.model = BpeModel(path)
         self.translate = {b: ord(c) for b, c in self.model.to_symbols.items()}
         self.ids_of = _Memo(lambda word: " ".join(map(str, self.word_ids(word))))
-        self.ids_of_piece = _Memo(lambda piece: " ".join(map(self.ids_of.__getitem__, self.model.cut(self.model.normalise(piece)))))
         self.text_of = _Memo(self.piece_text)
 
     def word_ids(self, word: str) -> list[int]:
@@ -308,14 +307,11 @@ class Codec:
             at = end
 
     def _plain(self, text: str) -> list[str]:
-        """Ids of a text without added tokens, in pieces. Where white space is dropped, what lies between spaces is
-        encoded by itself: no word, and no composed character, holds one."""
-        if self.model.spaced:
-            return [self.ids_of[w] for w in self.model.cut(self.model.normalise(text))]
-        return list(filter(None, map(self.ids_of_piece.__getitem__, text.replace("\n", " ").split(" "))))
+        """Ids of a text without added tokens, word by word."""
+        return [self.ids_of[w] for w in self.model.cut(self.model.normalise(text))]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
-        """Ids of the text, joined by spaces piece by piece, for one chunk after another."""
+        """Ids of the text, joined by spaces word by word, for one chunk after another."""
         model = self.model
         for chunk in self.chunks(text):
             if model.special_pattern and model.special_pattern.search(chunk):
@@ -386,7 +382,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     Whole texts are encoded, special tokens in a text included; decoding starts from the ids. A null text counts as
     empty: no ids, and the digests are those of the empty string. Repeated rows and null keys are rows of their own.
-    Other columns aren't read. An empty table gives an empty result. Memory: one Arrow batch, MEMO pieces, a chunk of a
+    Other columns aren't read. An empty table gives an empty result. Memory: one Arrow batch, MEMO words, a chunk of a
     text and its longest word.
     """
     name = ship(docs.sparkSession, path)
