@@ -22,7 +22,7 @@ class Aggregate:
     merges: tuple[str, ...]  # sum, min, max, last: how each part combines with later ones
     final: Callable[..., Column]
     type: T.DataType
-    whole: Column | None = None  # for aggregates without mergeable parts
+    whole: Column | None = None  # the result in one go; without parts it is the only form
 
 
 def clean_number(v: Value) -> Column:
@@ -51,16 +51,20 @@ def _extreme(f, how: str):
     return lambda v: Aggregate((f(v.col),), (how,), lambda x: x, v.type)
 
 
-def _moments(of: Callable[[Column, Column, Column], Column]):
+def _moments(whole: Callable[[Column], Column], of: Callable[[Column], Column]):
+    """Squares are taken about each piece's own mean; what lies between the means is added when pieces merge."""
+
     def build(v: Value) -> Aggregate:
         x = clean_number(v)
-        return Aggregate((F.sum(x), F.sum(x * x), F.count(x)), ("sum",) * 3, of, DOUBLE)
+        n = F.count(x)
+        parts = (n, F.sum(x), F.var_pop(x) * n, F.avg(x) * F.sum(x))
+        return Aggregate(parts, ("sum",) * 4, lambda *p: of(_variance(*p)), DOUBLE, whole(x))
 
     return build
 
 
-def _variance(s: Column, q: Column, n: Column) -> Column:
-    return F.when(n > 1, F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
+def _variance(n: Column, total: Column, within: Column, between: Column) -> Column:
+    return F.when(n > 1, (within + F.greatest(between - total * total / n, F.lit(0.0))) / (n - 1))
 
 
 def _whole(f: Callable[..., Column], kind: T.DataType = DOUBLE):
@@ -73,9 +77,8 @@ AGGREGATES: dict[str, Callable[..., Aggregate]] = {
     "avg": _avg,
     "min": _extreme(F.min, "min"),
     "max": _extreme(F.max, "max"),
-    "variance": lambda v: Aggregate((), (), lambda: F.lit(None), DOUBLE, F.variance(clean_number(v))),
-    "stddev": lambda v: Aggregate((), (), lambda: F.lit(None), DOUBLE, F.stddev(clean_number(v))),
-    "running_variance": _moments(_variance),
+    "variance": _moments(F.variance, lambda x: x),
+    "stddev": _moments(F.stddev, F.sqrt),
     "median": _whole(lambda v: F.median(clean_number(v))),
     "percentile": _whole(lambda v, p: F.percentile(clean_number(v), F.lit(p.literal if p.literal <= 1 else p.literal / 100))),
     "count_distinct": _whole(lambda v: F.count_distinct(v.col), LONG),

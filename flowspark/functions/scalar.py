@@ -103,7 +103,10 @@ def loose_equal(a: Value, b: Value) -> Column:
     if a.null or b.null:
         return (F.lit(True) if a.null and b.null else b.col.isNull() if a.null else a.col.isNull())
     sides = comparable(a, b)
-    return sides[0].eqNullSafe(sides[1]) if sides else F.lit(False)
+    if not sides:
+        return F.lit(False)
+    # A text that is no number becomes null, and yet isn't equal to a null.
+    return sides[0].eqNullSafe(sides[1]) & (a.col.isNull() == b.col.isNull())
 
 
 def strict_equal(a: Value, b: Value) -> Column:

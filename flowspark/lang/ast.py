@@ -142,7 +142,7 @@ class WindowSpec:
 
 @dataclass(frozen=True)
 class EmitSpec:
-    kind: str  # every, when, change, group_change, update, every_count
+    kind: str  # every, when, change, group_change, update, every_count, every_interval
     interval: Expr | None = None
     value: Expr | None = None
 

@@ -5,7 +5,9 @@ Values follow the language rather than SQL: null is false, sums with text concat
 
 from __future__ import annotations
 
+import decimal
 import math
+import time
 from collections.abc import Mapping
 from typing import Any
 
@@ -27,6 +29,8 @@ def _number(x: Any) -> float | int | None:
             return float(x)
         except ValueError:
             return None
+    if isinstance(x, decimal.Decimal):
+        return float(x)
     return x.timestamp() if hasattr(x, "timestamp") else None
 
 
@@ -72,17 +76,83 @@ def _unless_null(f):
     return lambda *a: None if any(x is None for x in a) else f(*a)
 
 
+def _numeric(f):
+    """``f`` of numbers; null where one can't be coerced, and NaN where ``f`` has no value."""
+
+    def g(*args):
+        args = [_number(x) for x in args]
+        if any(x is None for x in args):
+            return None
+        try:
+            return f(*args)
+        except ValueError:
+            return math.nan
+        except (OverflowError, ZeroDivisionError):
+            return math.inf
+
+    return g
+
+
+def _power(a: float, b: float) -> float:
+    return math.inf if a == 0 and b < 0 else math.pow(a, b)
+
+
+def _equal(a: Any, b: Any) -> bool:
+    """Equality after coercion, as ``eq`` has it; null equals null."""
+    if a is None or b is None or type(a) is type(b):
+        return a == b
+    return _number(a) == _number(b)
+
+
+def _extreme(pick):
+    def f(*args):
+        if len(args) < 2 or all(type(x) is type(args[0]) for x in args):
+            return pick((x for x in args if x is not None), default=None)
+        return pick((float(x) for x in map(_number, args) if x is not None), default=None)
+
+    return f
+
+
+def _text(x: Any) -> str:
+    return str(x).lower() if isinstance(x, bool) else str(x)
+
+
+def _length(x: Any) -> int:
+    return len(x) if isinstance(x, (list, Mapping)) else len(_text(x))
+
+
+def _rounded(x: Any, digits: int = 0) -> Any:
+    """Halves go away from zero."""
+    if isinstance(x, int) or math.isinf(x) or math.isnan(x):
+        return x
+    unit = decimal.Decimal(1).scaleb(-digits)
+    return float(decimal.Decimal(repr(x)).quantize(unit, decimal.ROUND_HALF_UP))
+
+
+#: Parts of the date patterns that ``scan`` knows; longer ones come first.
+DATE_PARTS = {"yyyy": "%Y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
+
+
+def _format_date(at: Any, pattern: str) -> str:
+    out = pattern
+    for part, directive in DATE_PARTS.items():
+        out = out.replace(part, directive)
+    return at.strftime(out)
+
+
 FUNCTIONS = {
     "add": _fold("+", 0), "sub": _fold("-", 0), "mul": _fold("*", 1), "div": _fold("/", 1),
-    "mod": lambda a, b: _arithmetic("%", a, b), "pow": _unless_null(lambda a, b: float(a) ** b), "neg": _unless_null(lambda a: -a), "abs": _unless_null(abs),
-    "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: _compare("<", a, b), "le": lambda a, b: _compare("<=", a, b),
+    "mod": lambda a, b: _arithmetic("%", a, b), "pow": _numeric(_power), "neg": _numeric(lambda a: -a), "abs": _numeric(abs),
+    "eq": _equal, "ne": lambda a, b: not _equal(a, b), "lt": lambda a, b: _compare("<", a, b), "le": lambda a, b: _compare("<=", a, b),
     "gt": lambda a, b: _compare(">", a, b), "ge": lambda a, b: _compare(">=", a, b),
-    "min": lambda *a: min((x for x in a if x is not None), default=None), "max": lambda *a: max((x for x in a if x is not None), default=None),
+    "min": _extreme(min), "max": _extreme(max),
     "and": lambda *a: all(map(truth, a)), "or": lambda *a: any(map(truth, a)), "not": lambda a: not truth(a),
-    "exp": _unless_null(math.exp), "pi": lambda: math.pi, "length": _unless_null(len), "array_length": _unless_null(len),
-    "to_upper": _unless_null(str.upper), "to_lower": _unless_null(str.lower), "exists": lambda a: a is not None,
-    "coalesce": lambda *a: next((x for x in a if x is not None), None), "round": _unless_null(round), "floor": _unless_null(math.floor), "ceil": _unless_null(math.ceil), "sqrt": _unless_null(math.sqrt),
-    "epoch": _unless_null(lambda a: math.floor(_number(a))),
+    "exp": lambda *a: _numeric(math.exp)(*a) if len(a) == 1 and isinstance(a[0], (int, float)) and not isinstance(a[0], bool) else None, "pi": lambda: math.pi,
+    "length": _unless_null(_length), "array_length": _unless_null(_length), "now": time.time, "format_date": _unless_null(_format_date),
+    "if": lambda test, yes, no=None: yes if truth(test) else no,
+    "to_upper": _unless_null(lambda a: _text(a).upper()), "to_lower": _unless_null(lambda a: _text(a).lower()), "exists": lambda a: a is not None,
+    "coalesce": lambda *a: next((x for x in a if x is not None), None), "round": lambda a, digits=0: _numeric(lambda x: _rounded(x, digits))(a),
+    "floor": _numeric(math.floor), "ceil": _numeric(math.ceil), "sqrt": _numeric(math.sqrt), "epoch": _numeric(math.floor),
 }
 
 
@@ -131,12 +201,32 @@ class Evaluator:
             return [self.eval(x, row) for x in e.items]
         if kind is A.ObjectLit:
             return self.members(e.items, row)
+        if kind is A.Method:
+            return self.method(e, row)
         if kind is A.Call:
             if e.name.lower() not in FUNCTIONS:
                 raise UnknownFunction(f"unknown function {e.name!r}")
             return FUNCTIONS[e.name.lower()](*[self.eval(a, row) for a in e.args])
         raise CompileError(f"{kind.__name__} has no meaning here")
 
+    def method(self, e: A.Method, row: Mapping[str, Any]) -> Any:
+        """``map``, ``filter`` and ``reduce`` of arrays."""
+        base = self.eval(e.base, row)
+        if e.name not in ("map", "filter", "reduce") or not e.args or not isinstance(e.args[0], A.Lambda):
+            raise UnknownFunction(f"unknown method {e.name!r}")
+        if not isinstance(base, list):
+            return None
+        f = e.args[0]
+        call = lambda *values: self.eval(f.body, {**row, **dict(zip(f.params, values, strict=False))})
+        if e.name == "map":
+            return [call(x) for x in base]
+        if e.name == "filter":
+            return [x for x in base if truth(call(x))]
+        out = self.eval(e.args[1], row)
+        for x in base:
+            out = call(out, x)
+        return out
+
     def members(self, items: tuple[A.Item, ...], row: Mapping[str, Any]) -> dict[str, Any]:
         out: dict[str, Any] = {}
         for it in items:

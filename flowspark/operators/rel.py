@@ -15,8 +15,12 @@ from pyspark.sql import types as T
 
 from ..errors import CompileError
 
-#: Most buckets of an order key; it also bounds the tables that are broadcast back to the rows.
-MAX_BUCKETS = 64
+#: Most buckets of an order key; it also bounds the tables that are broadcast back to the rows, a row per bucket.
+MAX_BUCKETS = 4096
+#: Marks that are looked through one by one; with more, the right run of marks is found first.
+RUN = 64
+#: Leading bytes of a text that place it among the buckets.
+TEXT_BYTES = 6
 ORDER, BUCKET = "__ord", "__bucket"
 
 
@@ -32,7 +36,7 @@ class Rel:
     def of(cls, df: DataFrame, order_by: list[str] | None = None) -> Rel:
         names = [f"{ORDER}_{i}" for i, _ in enumerate(order_by or [])]
         hidden = {n: F.col(c) for n, c in zip(names, order_by or [], strict=True)}
-        return cls(df.withColumns(hidden) if hidden else df, list(df.columns), names)
+        return cls(df.withColumns(hidden) if hidden else df, [c for c in df.columns if not c.startswith(ORDER)], names)
 
     def result(self, sort: bool = False) -> DataFrame:
         df = self.df.orderBy(*self.order) if sort and self.order else self.df
@@ -47,22 +51,39 @@ class Rel:
         return [F.col(c) for c in self.order]
 
 
+def _text_place(text: Column) -> Column:
+    """A number that never falls as texts grow: their leading bytes, with zeros where a text ends."""
+    digits = F.rpad(F.substring(F.hex(text.cast("binary")), 1, 2 * TEXT_BYTES), 2 * TEXT_BYTES, "0")
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _marks_below(marks: list, value: Column, kind: T.DataType) -> Column:
+    """How many of the sorted marks lie below the value."""
+    below = lambda at: F.size(F.filter(at, lambda m: m < value))
+    column = lambda found: F.array(*[F.lit(m).cast(kind) for m in found])
+    if len(marks) <= RUN:
+        return F.when(value.isNull(), 0).otherwise(below(column(marks)))
+    runs = [marks[i : i + RUN] for i in range(0, len(marks), RUN)]
+    run = below(column([r[-1] for r in runs[:-1]]))
+    return F.when(value.isNull(), 0).otherwise(run * RUN + below(F.get(F.array(*map(column, runs)), run)))
+
+
 class Ordered:
     """Rows of ``rel`` in ``BUCKET``s of their order."""
 
     def __init__(self, rel: Rel):
         self.keys = rel.keys()
         df = rel.df
-        first = rel.order[0]
-        kind = df.schema[first].dataType
+        first, kind = F.col(rel.order[0]), df.schema[rel.order[0]].dataType
+        if isinstance(kind, T.StringType):
+            first, kind = _text_place(first), T.LongType()
         cut = F.lit(0)
         n = min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         if n > 1 and isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-            marks = df.select(F.percentile_approx(first, [i / n for i in range(1, n)], 1000)).first()[0] or []
+            marks = df.select(F.percentile_approx(first, [i / n for i in range(1, n)], max(1000, 10 * n))).first()[0] or []
             marks = sorted(set(marks))
             if marks:
-                at = F.array(*[F.lit(m).cast(kind) for m in marks])
-                cut = F.size(F.filter(at, lambda m: m < F.col(first)))
+                cut = _marks_below(marks, first, kind)
         self.df = df.withColumn(BUCKET, cut.cast("int"))
         self.inside = Window.partitionBy(BUCKET).orderBy(*self.keys)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +55,17 @@ class Planner:
             return True
         return any(self.has_aggregate(x) for x in _children(e))
 
+    def aggregates_in(self, items: tuple[A.Item, ...]) -> list[A.Expr]:
+        todo = [it.value for it in items if isinstance(it, (A.Prop, A.Spread))]
+        found = []
+        while todo:
+            e = todo.pop()
+            if self.is_aggregate(e):
+                found.append(e)
+            else:
+                todo += _children(e)
+        return found
+
     def rewrite(self, e: A.Expr) -> A.Expr:
         if e in self.keys:
             return A.Name(self.keys[e])
@@ -131,6 +142,8 @@ def summarize(rel: Rel, op: A.Summarize, scope: Scope, custom=None) -> Rel:
     column = op.window.name if op.window else None
     if op.emit:
         return _emitting(rel, op, scope, custom or {})
+    if op.window and op.window.function == "session_window" and (found := _sessions(rel, op, scope, column, custom or {})):
+        return found
     if op.window:
         hidden = "__w"
         rel = windows.assign(rel, op.window, scope, hidden)
@@ -153,6 +166,30 @@ def summarize(rel: Rel, op: A.Summarize, scope: Scope, custom=None) -> Rel:
     return _finish(out, plan, key_names, column, order, scope)
 
 
+def _sessions(rel: Rel, op: A.Summarize, scope: Scope, column: str, custom) -> Rel | None:
+    """Sessions whose bounds come from their own groups, so rows are grouped once; None if an aggregate or a key reads
+    the bounds row by row."""
+    _, (timeout,), value = windows.resolve(op.window, scope)
+    rows = windows.session_rows(rel, number(scope.compile(value)).col, timeout)
+    kind = rows.df.schema["__v0"].dataType
+    shape = rows.df.select(windows.session_fields(F.col("__v0"), F.col("__v0"), timeout).alias("__w"))
+    scope = Scope(rows.df, scope.fields, scope.lookups, scope.functions, scope.js_concat, {column: scope_value(shape, "__w")})
+    planner = Planner(scope, rows.keys(), column, {e: f"__k{i}" for i, e in enumerate(op.by)}, custom)
+    read = [*op.by, *planner.aggregates_in(op.items)]
+    if any(column in _names(e) for e in read):
+        return None
+    df, key_names, _ = _with_keys(rows.df, op.by, scope)
+    plan = planner.items(op.items)
+    bounds = {"__first": F.min(F.struct(*rows.keys(), F.col("__v0").alias("v"))), "__last": F.max("__v0")}
+    out = df.groupBy("__sid", *key_names).agg(*[c.alias(n) for n, c in (_part_columns(plan) | bounds).items()])
+    start, last = F.col("__first"), F.col("__last")
+    if key_names:
+        session = Window.partitionBy("__sid")
+        start, last = F.min("__first").over(session), F.max("__last").over(session)
+    out = out.withColumn("__w", windows.session_fields(start["v"].cast(kind), last, timeout))
+    return _finish(out, plan, key_names, column, {f"{ORDER}_0": F.col("__sid"), f"{ORDER}_1": F.col("__first")}, scope)
+
+
 def scope_value(df: DataFrame, name: str) -> Value:
     return Value(F.col(name), df.schema[name].dataType)
 
@@ -171,6 +208,7 @@ def _part_columns(plan: Plan) -> dict[str, Column]:
     for name, agg in plan.aggregates.items():
         if agg.whole is not None:
             out[name] = agg.whole
+            continue
         for i, p in enumerate(agg.parts):
             out[f"{name}_{i}"] = p
     return out
@@ -237,6 +275,8 @@ def _epochs(rel: Rel, op: A.Summarize, scope: Scope, key_names: list[str]) -> Da
     """Rows with ``__hit``, whether the row fires the trigger, and ``__e``, the number of triggers before it: a trigger
     is the last row of its epoch."""
     emit = op.emit
+    if emit.kind == "every_interval":
+        raise CompileError("emit every_interval counts milliseconds of the clock: it needs a running stream")
     if emit.kind in ("every", "every_count") and emit.value is None:
         n = scope.compile(emit.interval).literal
         if not isinstance(n, (int, float)) or n <= 0:
@@ -279,8 +319,10 @@ def _emitting(rel: Rel, op: A.Summarize, scope: Scope, custom) -> Rel:
     """
     df, key_names, keys = _with_keys(rel.df, op.by, scope)
     plan = Planner(scope, rel.keys(), None, keys, custom).items(op.items)
-    for agg in plan.aggregates.values():
-        if agg.whole is not None:
+    for name, agg in plan.aggregates.items():
+        if agg.parts:
+            plan.aggregates[name] = replace(agg, whole=None)
+        elif agg.whole is not None:
             raise CompileError("this aggregate can't run along with emit: its partial results don't merge")
     rows = _epochs(rel.with_df(df), op, scope, key_names)
     parts = _part_columns(plan)

@@ -91,15 +91,26 @@ def _sliding(df, at, sizes, mode, column, name):
     return df.withColumn(column, _fields(at, start, at + 1, "sliding", mode, size=F.lit(size)))
 
 
-def _session(rel: Rel, v: Column, timeout: float, column: str) -> Rel:
-    """A session ends where the next value is more than ``timeout`` later. ``end`` is the last value and the timeout."""
+def session_rows(rel: Rel, v: Column, timeout: float) -> Rel:
+    """Rows with their session's number ``__sid``, from 1, and their value ``__v0``. A session ends where the next
+    value is more than ``timeout`` later."""
     ordered = Ordered(rel.with_df(rel.df.withColumn("__v0", v).filter(F.col("__v0").isNotNull()))).lag("__p", F.col("__v0"))
     opens = F.col("__p").isNull() | (F.col("__v0") - F.col("__p.v") > timeout)
-    df = ordered.running("__sid", opens.cast("long")).df
+    return rel.with_df(ordered.running("__sid", opens.cast("long")).df.drop("__p"))
+
+
+def session_fields(start: Column, last: Column, timeout: float) -> Column:
+    """``end`` is the last value and the timeout."""
+    return _fields(F.col("__sid"), start, last + timeout, "session", "value", timeout=F.lit(timeout))
+
+
+def _session(rel: Rel, v: Column, timeout: float, column: str) -> Rel:
+    """Rows joined with their session's bounds, for aggregates that read them row by row."""
+    df = session_rows(rel, v, timeout).df
     bounds = df.groupBy("__sid").agg(F.min_by("__v0", F.struct(*rel.keys())).alias("__from"), F.max("__v0").alias("__to"))
     both = df.join(bounds, "__sid")
-    fields = _fields(F.col("__sid"), F.col("__from"), F.col("__to") + timeout, "session", "value", timeout=F.lit(timeout))
-    return rel.with_df(both.withColumn(column, fields).drop("__sid", "__v0", "__p", "__from", "__to"))
+    fields = session_fields(F.col("__from"), F.col("__to"), timeout)
+    return rel.with_df(both.withColumn(column, fields).drop("__sid", "__v0", "__from", "__to"))
 
 
 def native_time(df, ts: str, size: str, hop: str | None = None) -> Column:

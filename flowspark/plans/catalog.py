@@ -39,6 +39,7 @@ class Flow:
     since: int = 0  # rows of the source inserted before the flow began
     created: float = field(default_factory=time.time)
     running: Any = None  # a StreamingQuery, for flows over live data
+    landing: Any = None  # the folder that a live flow reads, if it is one of ours
     timer: Any = None
 
     @property

@@ -18,6 +18,7 @@ from ..errors import CompileError, FlowCycle, FlowError, FlowExists, FlowNotFoun
 from ..lang import ast as A
 from ..lang.durations import parse_duration
 from ..lang.parser import constant, parse_pipeline, parse_program
+from ..operators.map import map_rows
 from ..operators.rel import ORDER, Ordered, Rel
 from . import compiler
 from .catalog import LOG, Catalog, Flow
@@ -68,6 +69,12 @@ class Engine:
             raise FlowError(f"the function {name!r} is registered")
         self.functions[name.lower()] = build
 
+    def register_map(self, name: str, target: str, fn: Callable[[dict[str, Any]], dict[str, Any] | None], schema: str) -> None:
+        """A stream ``target`` of what ``fn`` makes of each row of the stream ``name``."""
+        rel = self.rel(name)
+        made = map_rows(rel.df.select(*["`" + n + "`" for n in rel.visible], *rel.order), fn, schema, rel.order)
+        self.catalog.create_stream(target, "replace", made, rel.order)
+
     def register_aggregate(self, name: str, build: Callable[..., Column]) -> None:
         if name.lower() in self.aggregates:
             raise FlowError(f"the aggregate {name!r} is registered")
@@ -148,7 +155,7 @@ class Engine:
                 raise FlowCycle(f"{target!r} feeds itself through {name!r}")
         self.catalog.flows[name] = flow
         if ttl:
-            flow.timer = threading.Timer(ttl, lambda: self.catalog.flows.get(name) is flow and self.stop_flow(name))
+            flow.timer = threading.Timer(ttl, lambda: self.catalog.flows.get(name) is flow and self._expire_flow(name))
             flow.timer.daemon = True
             flow.timer.start()
         self.catalog.fire("flow_created", name=name, ttl=ttl)
@@ -174,6 +181,24 @@ class Engine:
         del self.catalog.flows[name]
         self.catalog.fire("flow_stopped", name=name)
 
+    def finish_flow(self, name: str) -> None:
+        """Hands out what a flow still holds, as a flush does, and stops it."""
+        flow = self.flow(name)
+        if flow.landing and flow.running:
+            flow.landing.flush()
+        self._flush_flow(name)
+        if self.catalog.flows.get(name) is flow:
+            self.stop_flow(name)
+
+    def _expire_flow(self, name: str) -> None:
+        """As ``finish_flow``, but a flow goes even if its results fail; the fault is logged."""
+        flow = self.flow(name)
+        try:
+            self.finish_flow(name)
+        except Exception as e:  # noqa: BLE001  nobody waits for what a timer raises
+            self.log("error", getattr(e, "code", "FLOW_FAILED"), str(e), flow.text)
+            self.stop_flow(name)
+
     def stop_all_flows(self) -> None:
         for name in list(self.catalog.flows):
             self.stop_flow(name)
@@ -204,23 +229,24 @@ class Engine:
     def flush(self, stream: str) -> list[str]:
         """Runs the file sinks of the flows on the stream, and hands results to the subscribers of their targets."""
         self.catalog.stream(stream)
-        done = []
-        for name in self.catalog.readers_of(stream):
-            flow = self.catalog.flows[name]
-            if flow.running:
+        return [name for name in self.catalog.readers_of(stream) if self._flush_flow(name)]
+
+    def _flush_flow(self, name: str) -> bool:
+        """Whether the flow's plan was run here; a live one only catches up."""
+        flow = self.catalog.flows[name]
+        if flow.running:
+            if flow.running.isActive:
                 flow.running.processAllAvailable()
-                continue
-            heard: list[tuple[str, Rel]] = []
-            tee = lambda target, rel: heard.append((target, rel))  # noqa: E731, B023
-            compiler.compile_pipeline(self.rel(flow.source, flow.since), flow.pipeline.ops, self.context(True, tee))
-            for target, rel in heard:
-                listening = [s for s in self.catalog.subscriptions.values() if s.stream in (target, None)]
-                if listening:
-                    for row in rel.result(sort=True).toLocalIterator():
-                        for s in listening:
-                            s.callback(target, row.asDict(recursive=True))
-            done.append(name)
-        return done
+            return False
+        heard: list[tuple[str, Rel]] = []
+        compiler.compile_pipeline(self.rel(flow.source, flow.since), flow.pipeline.ops, self.context(True, lambda target, rel: heard.append((target, rel))))
+        for target, rel in heard:
+            listening = [s for s in self.catalog.subscriptions.values() if s.stream in (target, None)]
+            if listening:
+                for row in rel.result(sort=True).toLocalIterator():
+                    for s in listening:
+                        s.callback(target, row.asDict(recursive=True))
+        return True
 
     def log(self, level: str, code: str, message: str, query: str = "") -> None:
         rows = self.catalog.streams[LOG].rows
@@ -270,14 +296,12 @@ class Engine:
     def _do_delete_stream(self, s: A.Statement) -> Result:
         self.catalog.stream(s.name)
         for f in self.catalog.readers_of(s.name):
-            self.stop_flow(f)
+            self._expire_flow(f)
         self.catalog.delete_stream(s.name)
         return Result(True, s.kind, f"stream {s.name}")
 
     def _do_delete_flow(self, s: A.Statement) -> Result:
-        self.flow(s.name)
-        self.flow_rel(s.name, write=True)
-        self.stop_flow(s.name)
+        self.finish_flow(s.name)
         return Result(True, s.kind, f"flow {s.name}")
 
     def _do_delete_lookup(self, s: A.Statement) -> Result:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.sorter import sorter
@@ -74,6 +74,13 @@ register("documented_fns", 'customer | select { c_custkey, u: to_upper(c_mktsegm
 register("array_lambdas", "part | select { p_partkey, a: [p_size, 5, 10] } | select { p_partkey, d: a.map(x => x * 2)[0], f: a.filter(x => x > 5).length, r: a.reduce((s, x) => s + x, 0) }", "SELECT p_partkey, p_size::BIGINT * 2 AS d, (CASE WHEN p_size > 5 THEN 2 ELSE 1 END)::BIGINT AS f, p_size::DOUBLE + 15 AS r FROM part")
 
 
+register("unary_signs", "events | select { event_id, m: -value, p: +user_id, t: -(user_id + 1) }", "SELECT event_id, -value AS m, user_id AS p, -(user_id + 1) AS t FROM events")
+register("select_spread_expr", "nation | select { ...{ k: n_nationkey, name: n_name }, r: n_regionkey }", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation")
+register("select_conditional_spread", 'events | select { event_id, ...(value > 300 ? { size: "large" } : { size: "small" }) }', "SELECT event_id, CASE WHEN value > 300 THEN 'large' ELSE 'small' END AS size FROM events")
+register("index_then_field", "part | select { p_partkey, a: [{ s: p_size * 2 }, { s: p_size + 1 }] } | select { p_partkey, s: a[1].s, none: a[5].s }", "SELECT p_partkey, p_size::BIGINT + 1 AS s, NULL::BIGINT AS none FROM part")
+register("date_text", 'events | select { event_id, month: format_date(ts, "yyyy-MM"), recent: now() > epoch(ts) }', "SELECT event_id, strftime(ts, '%Y-%m') AS month, true AS recent FROM events")
+
+
 def _nested_path_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -116,6 +123,9 @@ register(
     rounded={"a": 6, "sd": 6, "va": 4, "me": 6, "p9": 6, "bs": 2, "ba": 6},
 )
 
+register("summarize_last_scalar", "events | summarize { event_type, twice: user_id * 2, sum: add(user_id, event_id) } by event_type", "SELECT event_type, arg_max(user_id, (ts, event_id)) * 2 AS twice, arg_max(user_id + event_id, (ts, event_id)) AS \"sum\" FROM events GROUP BY event_type")
+register("summarize_unnamed", "events | summarize { event_type, count(), sum(user_id) } by event_type", "SELECT event_type, count(*) AS count, sum(user_id)::BIGINT AS sum_user_id FROM events GROUP BY event_type")
+
 # Windows
 
 _W = "_id: w._id, start: w.start, end: w.end"
@@ -130,6 +140,14 @@ register("win_sliding_by", "events | summarize { event_id, n: count(), hi: max(v
 register("win_session", "events | summarize { start: w.start, end: w.end, id: w._id, n: count() } over w = session_window(300, epoch(ts))", f"WITH f AS (SELECT e, sum(open) OVER (ORDER BY ts, event_id) AS sid FROM (SELECT ts, event_id, {E_} AS e, CASE WHEN {E_} - lag({E_}) OVER (ORDER BY ts, event_id) <= 300 THEN 0 ELSE 1 END AS open FROM events)) SELECT min(e) AS start, max(e) + 300 AS \"end\", sid::BIGINT AS id, count(*) AS n FROM f GROUP BY sid")
 register("win_spread", "events | summarize { n: count(), ...w } over w = tumbling_window(1000)", f"SELECT count(*) AS n, i // 1000 AS _id, i // 1000 AS \"windowId\", i // 1000 * 1000 AS start, i // 1000 * 1000 + 1000 AS \"end\", 1000 AS size, 'tumbling' AS type, 'count' AS mode FROM (SELECT {N_} AS i FROM events) GROUP BY i // 1000")
 
+register("win_tumbling_value", "events | summarize { start: w.start, n: count() } over w = tumbling_window(7, user_id)", "SELECT user_id // 7 * 7 AS start, count(*) AS n FROM events GROUP BY 1")
+register("win_hopping_value", "events | summarize { start: w.start, n: count() } over w = hopping_window(20, 10, user_id)", "SELECT start, count(*) AS n FROM (SELECT unnest([user_id // 10 * 10, user_id // 10 * 10 - 10]) AS start FROM events) GROUP BY start")
+register("win_hopping_time", "events | summarize { start: w.start, event_type, n: count() } over w = hopping_window(2h, 1h, epoch(ts)) by event_type", f"SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([{E_} // 3600 * 3600, {E_} // 3600 * 3600 - 3600]) AS start FROM events) GROUP BY ALL")
+register("win_sliding_value", "events | summarize { id: w._id, n: count(), hi: max(value) } over w = sliding_window(3, user_id)", "SELECT user_id AS id, count(*) OVER w AS n, max(value) OVER w AS hi FROM events WINDOW w AS (ORDER BY user_id RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)")
+_SESSIONS = f"f AS (SELECT *, sum(open) OVER (ORDER BY ts, event_id) AS sid FROM (SELECT *, {E_} AS e, CASE WHEN {E_} - lag({E_}) OVER (ORDER BY ts, event_id) <= 300 THEN 0 ELSE 1 END AS open FROM events))"
+register("win_session_by", "events | summarize { event_type, id: w._id, start: w.start, end: w.end, n: count() } by event_type over w = session_window(300, epoch(ts))", f"WITH {_SESSIONS}, b AS (SELECT sid, min(e) AS start, max(e) + 300 AS \"end\" FROM f GROUP BY sid) SELECT event_type, sid::BIGINT AS id, start, \"end\", count(*) AS n FROM f JOIN b USING (sid) GROUP BY ALL")
+register("win_session_row_bounds", "events | summarize { id: w._id, late: sum(epoch(ts) - w.start) } over w = session_window(300, epoch(ts))", f"WITH {_SESSIONS}, b AS (SELECT sid, min(e) AS start FROM f GROUP BY sid) SELECT sid::BIGINT AS id, sum(e - start)::BIGINT AS late FROM f JOIN b USING (sid) GROUP BY sid")
+
 # Emitting
 
 
@@ -143,6 +161,8 @@ SELECT event_type, sum(n)::BIGINT AS n, sum(u)::BIGINT AS users, arg_max(l, e) A
 
 _EMIT = "events | summarize { event_type: event_type, n: count(), users: sum(user_id), last: event_id } by event_type emit "
 register("emit_every_n", _EMIT + "every 50", _emit_sql("i % 50 = 0"))
+register("emit_every_count", _EMIT + "every_count(50)", _emit_sql("(i + 1) % 50 = 0"))
+register("emit_variance", "events | summarize { n: count(), va: variance(user_id), sd: stddev(user_id) } emit on update", "SELECT count(*) OVER w AS n, round(var_samp(user_id) OVER w, 6) AS va, round(stddev_samp(user_id) OVER w, 6) AS sd FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) UNION ALL SELECT count(*), round(var_samp(user_id), 6), round(stddev_samp(user_id), 6) FROM events", rounded={"va": 6, "sd": 6})
 register("emit_when", _EMIT + "when value > 450", _emit_sql("value > 450"))
 register("emit_on_change", _EMIT + "on change user_id", _emit_sql("i = 0 OR user_id <> lag(user_id) OVER (ORDER BY ts, event_id)"))
 register("emit_on_group_change", _EMIT + "on group change", _emit_sql("i = 0 OR event_type <> lag(event_type) OVER (ORDER BY ts, event_id)"))
@@ -186,11 +206,28 @@ register("tee_midway", "tee | summarize { n: count() }", "SELECT count(*) AS n F
 
 
 def _sorter_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sorter(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"), "value", "event_id")
+    """Rows with their place in the sorter's own output: the place in a partition, and the sizes of those before it."""
+    out = sorter(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"), "value", "event_id")
+    # The upper bits of the running number are the partition's, the lower 33 the place in it.
+    numbered = out.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return numbered.join(F.broadcast(before), "part").select("event_id", "value", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
 
 
 QUERIES["sorter_batch"] = _sorter_batch
-SQL["sorter_batch"] = "SELECT event_id, value FROM events ORDER BY value, event_id"
+SQL["sorter_batch"] = "SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) AS rank FROM events"
+
+
+def _map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function over rows, and the language over what it makes."""
+    e = engine(spark, sf_dir)
+    e.register_map("events", "large", lambda r: {"event_id": r["event_id"], "word": r["event_type"][::-1]} if r["value"] > 250 else None, "event_id long, word string")
+    return e.query("large | summarize { word, n: count(), last: event_id } by word")
+
+
+QUERIES["map_rows"] = _map_rows
+SQL["map_rows"] = "SELECT reverse(event_type) AS word, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last FROM events WHERE value > 250 GROUP BY event_type"
 
 
 def _sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import os
 import pickle
 import uuid
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
@@ -50,9 +50,11 @@ class LandingFolder:
     def flush(self) -> None:
         self.insert([{FLUSH: True}])
 
-    def stream(self, spark, schema: str) -> DataFrame:
+    def stream(self, spark, schema: str, max_files: int | None = None) -> DataFrame:
+        """``max_files`` bounds what one micro-batch takes, so that a backlog is worked off in pieces."""
         os.makedirs(self.path, exist_ok=True)
-        return spark.readStream.schema(f"{schema}, {FLUSH} boolean").json(self.path)
+        reader = spark.readStream.schema(f"{schema}, {FLUSH} boolean")
+        return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(self.path)
 
 
 def _event_time(op: A.Summarize, kinds: Mapping[str, T.DataType]) -> tuple[str, list[float]] | None:
@@ -89,7 +91,9 @@ def _with_state(df: DataFrame, visible: list[str], op: A.Op, order: list[str], c
     spark = df.sparkSession
     fields = [f for f in df.schema.fields if f.name in visible]
     empty = spark.createDataFrame([], T.StructType(fields))
-    known = apply(Rel.of(empty, [o for o in order if o in visible] or visible[:1]), op, context)
+    # Types don't depend on when results are emitted, and clocks have no meaning for bounded rows.
+    typed = replace(op, emit=None) if isinstance(op, A.Summarize) else op
+    known = apply(Rel.of(empty, [o for o in order if o in visible] or visible[:1]), typed, context)
     out = T.StructType([T.StructField(n, known.df.schema[n].dataType) for n in known.visible])
     plain = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.NullType, T.VariantType)) else f.dataType) for f in out.fields])
     lookups = dict(context.lookups)
@@ -167,9 +171,11 @@ def start(pipeline: str | A.Pipeline, df: DataFrame, checkpoint: str, sink: Call
     return rel.result().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
-def start_flow(engine: Any, name: str, df: DataFrame, checkpoint: str, **options: Any) -> Any:
-    """Runs a registered flow of the engine over live rows. What it inserts goes to the target's subscribers and rows."""
+def start_flow(engine: Any, name: str, df: DataFrame, checkpoint: str, landing: LandingFolder | None = None, **options: Any) -> Any:
+    """Runs a registered flow of the engine over live rows. What it inserts goes to the target's subscribers and rows.
+    Through ``landing``, the folder that ``df`` reads, a flow that ends is asked for what it holds."""
     flow = engine.flow(name)
+    flow.landing = landing
 
     def inserts(target: str, rows: DataFrame) -> None:
         for r in rows.toLocalIterator():

@@ -16,7 +16,7 @@ from ..operators.machine import Evaluator, ScanMachine, truth
 from ..operators.sorter import ReorderBuffer
 from ..operators.summarize import CLOCK_INTERVAL
 
-AGGREGATES = ("count", "sum", "avg", "min", "max", "count_if", "sum_if", "avg_if", "count_distinct")
+AGGREGATES = ("count", "sum", "avg", "min", "max", "count_if", "sum_if", "avg_if", "count_distinct", "variance", "stddev", "median", "percentile")
 
 
 def _number(x: Any) -> float | int | None:
@@ -30,6 +30,22 @@ def _number(x: Any) -> float | int | None:
     return x if isinstance(x, (int, float)) and x == x else None
 
 
+def _quantile(counts: Mapping[float, int] | None, share: float) -> float | None:
+    """The value at ``share`` of the way through the sorted values, between neighbours by the straight line."""
+    if not counts:
+        return None
+    at = share * (sum(counts.values()) - 1)
+    low, high = math.floor(at), math.ceil(at)
+    seen, first = 0, None
+    for value in sorted(counts):
+        seen += counts[value]
+        if first is None and seen > low:
+            first = value
+        if seen > high:
+            return float(first + (value - first) * (at - low))
+    return None
+
+
 class Accumulator:
     """The items of one group: aggregates fold, other fields keep their last value."""
 
@@ -75,6 +91,22 @@ class Accumulator:
             s, n = old or (0.0, 0)
             x = _number(args[0])
             return (s, n) if x is None else (s + x, n + 1)
+        if name in ("variance", "stddev"):
+            n, mean, squares = old or (0, 0.0, 0.0)
+            x = _number(args[0])
+            if x is None:
+                return n, mean, squares
+            step = x - mean
+            mean += step / (n + 1)
+            return n + 1, mean, squares + step * (x - mean)
+        if name in ("median", "percentile"):
+            # How often each value came: exact, and as large as there are different values.
+            x = _number(args[0])
+            if x is None:
+                return old
+            seen = {} if old is None else old
+            seen[x] = seen.get(x, 0) + 1
+            return seen
         if name == "count_distinct":
             return (old or set()) | ({args[0]} if args[0] is not None else set())
         if args[0] is None:
@@ -89,6 +121,12 @@ class Accumulator:
                 return x[0] / x[1] if x and x[1] else None
             if name == "count_distinct":
                 return len(x or ())
+            if name in ("variance", "stddev"):
+                spread = x[2] / (x[0] - 1) if x and x[0] > 1 else None
+                return spread if name == "variance" or spread is None else math.sqrt(spread)
+            if name in ("median", "percentile"):
+                share = 0.5 if name == "median" else self.ev.eval(e.args[1], self.row)
+                return _quantile(x, share if share <= 1 else share / 100)
             return 0 if x is None and name.startswith(("count", "sum")) else x
         if isinstance(e, A.ObjectLit):
             return {p.key: self._value(p.value, extra) for p in e.items if isinstance(p, A.Prop)}
@@ -137,7 +175,7 @@ class EmitMachine:
         n = self.ev.eval(emit.interval, row)
         if emit.kind == "every_count":
             return self.rows % n == 0
-        if emit.value is None and n < CLOCK_INTERVAL:
+        if emit.kind == "every" and emit.value is None and n < CLOCK_INTERVAL:
             return (self.rows - 1) % n == 0
         x = now * 1000 if emit.value is None else _number(self.ev.eval(emit.value, row))
         if x is None or self.last is not None and x - self.last < n:

@@ -16,6 +16,10 @@ PIPELINES = [
     "s | summarize { k, n: count() } by k emit on group change",
     "s | summarize { n: count(), hi: max(v) } emit on update",
     "s | summarize { n: count() } emit every 5 using t",
+    "s | summarize { n: count() } emit every_count(4)",
+    "s | summarize { k, n: count(), va: variance(v), sd: stddev(v) } by k",
+    "s | summarize { k, me: median(v), p9: percentile(v, 0.9) } by k",
+    "s | scan(step a: true => a.n = abs(neg(v)) + [v, 2].map(x => x * 2)[0], emit({ t: t, n: a.n }))",
     "s | summarize { k, id: w._id, n: count(), total: sum(v) } by k over w = tumbling_window(4)",
     "s | summarize { n: count(), ...w } over w = count_window(5)",
     "s | summarize { id: w._id, n: count() } over w = hopping_window(6, 2)",
@@ -44,7 +48,8 @@ def test_machines_agree_with_plans(spark, pipeline):
     e.run_script("create stream s")
     e.insert("s", data)
     got = [r.asDict(recursive=True) for r in e.query(pipeline, sort=True).collect()]
-    plain = lambda rs: [{k: float(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in r.items()} for r in rs]
+    number = lambda v: round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda rs: [{k: number(v) for k, v in r.items()} for r in rs]
     if "over" in pipeline:  # windows may close in another order than they are listed
         order = lambda rs: sorted(map(repr, (sorted(r.items()) for r in plain(rs))))
         assert order(got) == order(made)
@@ -99,3 +104,26 @@ def test_engine_flow_feeds_subscribers(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(heard) == sorted(r["v"] for r in rows(3) if r["v"] > 5)
     e.stop_flow("f")
+
+
+def test_clock_intervals_and_a_bounded_backlog(spark, tmp_path):
+    """``every_interval`` counts the clock, so a first row fires and one soon after doesn't; files come one a batch."""
+    m = machine(parse_pipeline("s | summarize { n: count() } emit every_interval(50)").ops[0])
+    assert [len(m.push({}, now)) for now in (0.0, 0.04, 0.05, 0.09, 0.2)] == [1, 0, 1, 0, 1]
+    land, batches = LandingFolder(str(tmp_path / "in")), []
+    for i in range(3):
+        land.insert([{"v": i}])
+    q = start("s | summarize { n: count() } emit every 3600000", land.stream(spark, "v long", max_files=1), str(tmp_path / "c"), lambda df, n: batches.append(df.count()), availableNow=True)
+    q.awaitTermination(120)
+    assert len(batches) >= 3 and sum(batches) == 1
+
+
+def test_a_live_flow_that_ends_hands_out_what_it_holds(spark, tmp_path):
+    e, heard = Engine(spark), []
+    e.run_script("create stream s; create stream out; create flow f as s | summarize { n: count(), me: median(v) } | insert_into(out)")
+    e.catalog.subscribe("out", lambda stream, d: heard.append(d))
+    land = LandingFolder(str(tmp_path / "in"))
+    land.insert([{"v": 1}, {"v": 2}])
+    start_flow(e, "f", land.stream(spark, "v long"), str(tmp_path / "c"), landing=land)
+    assert e.execute("delete stream s").success
+    assert heard == [{"n": 2, "me": 1.5}] and not e.catalog.flows
