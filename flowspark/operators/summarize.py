@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import CompileError
 from ..functions.aggregates import AGGREGATES, BOTH, Aggregate, last_value
@@ -233,14 +234,18 @@ def _finish(df: DataFrame, plan: Plan, keys: list[str], column: str | None, orde
 
 
 def _sliding(rel: Rel, op: A.Summarize, scope: Scope, column: str, custom) -> Rel:
-    """Each row's trailing window. Rows lie in blocks of consecutive places; a block also holds, as a halo, the rows
-    before it that its windows reach back to, so blocks are independent and a row is in two at most."""
-    name, sizes, _ = windows.resolve(op.window, scope)
+    """Each row's trailing window. Windows over values merge where their aggregates do. Else rows lie in blocks of
+    consecutive places; a block also holds, as a halo, the rows before it that its windows reach back to, so blocks are
+    independent and a row is in two at most."""
+    name, sizes, value = windows.resolve(op.window, scope)
     size = sizes[0]
     span = max(8 * size, BLOCK if name == "sliding_window" else 8 * size)
     df, key_names, keys = _with_keys(rel.df, op.by, scope)
     plan = Planner(scope, rel.keys() if rel.order else None, column, keys, custom).items(op.items)
     at = F.col("__w._id")
+    if value is not None and size >= 1 and plan.aggregates and all(a.whole is None for a in plan.aggregates.values()):
+        out = _sliding_merged(df, plan, key_names, size)
+        return _finish(out, plan, key_names, column, {n: F.col(n) for n in rel.order} or {f"{ORDER}_0": at}, scope)
     block = F.floor(at / span).cast("long")
     reaches = F.floor((at + (size - 1)) / span).cast("long")
     df = df.withColumn("__block", block).withColumn("__in", F.explode(F.sequence(block, reaches)))
@@ -251,6 +256,37 @@ def _sliding(rel: Rel, op: A.Summarize, scope: Scope, column: str, custom) -> Re
     return _finish(out, plan, key_names, column, order, scope)
 
 
+def _sliding_merged(df: DataFrame, plan: Plan, key_names: list[str], size: float) -> DataFrame:
+    """Rows with the merged parts of their trailing windows of values.
+
+    Rows of one key and value share a window, so they are summed first. Values lie in tiles that are no wider than a
+    window: what a window holds of its own tile runs along from the tile's start, what it holds of earlier ones runs
+    along from their end, down to the window's. So each sum is read a few times, however many a window holds.
+    """
+    exact = float(size).is_integer() and isinstance(df.schema["__w"].dataType["_id"].dataType, T.IntegralType)
+    size = int(size) if exact else size
+    df = df.withColumn("__at", F.col("__w._id").cast("long" if exact else "double"))
+    at, own = F.col("__at"), F.col("__far") == 0
+    sums = df.groupBy("__at", *key_names).agg(*[c.alias(n) for n, c in _part_columns(plan).items()])
+    sums = sums.select("*", F.posexplode(windows.tiles(at, size, exact)).alias("__far", "__tile"))
+    low = F.coalesce(F.try_subtract(at, F.lit(size - 1)), F.lit(-(2**63))) if exact else at - F.lit(size - 1.0)
+    sums = sums.withColumn("__edge", F.when(own, low).otherwise(at))
+    tile = Window.partitionBy("__tile", *key_names)
+    here = tile.orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = tile.orderBy(F.desc("__edge")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running, merged = {}, []
+    for name, agg in plan.aggregates.items():
+        for i, how in enumerate(agg.merges):
+            n = f"{name}_{i}"
+            merge, both = _JOINED[how]
+            if how == "last" and isinstance(sums.schema[n].dataType["v"].dataType, (T.NumericType, T.StringType, T.DatetimeType)):
+                merge = F.max  # the order comes first in the struct; cheaper, for values that have an order themselves
+            running |= {f"{n}_h": merge(F.when(own, F.col(n))).over(here), f"{n}_b": merge(F.when(~own, F.col(n))).over(before)}
+            merged.append(both(F.col(f"{n}_h"), F.col(f"{n}_b")).alias(n))
+    found = sums.withColumns(running).filter(own).select("__at", *key_names, *merged)
+    return _null_safe(df, found, key_names, "__at")
+
+
 # Emitting
 
 
@@ -309,6 +345,13 @@ def _epochs(rel: Rel, op: A.Summarize, scope: Scope, key_names: list[str]) -> Da
 
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+#: How parts merge that come in any order, and how two results do, the second of which may be null.
+_JOINED = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "last": (lambda c: F.max_by(c, c["o"]), lambda a, b: F.when(b.isNull() | (a["o"] >= b["o"]), a).otherwise(b)),
+}
 
 
 def _emitting(rel: Rel, op: A.Summarize, scope: Scope, custom) -> Rel:
@@ -344,9 +387,9 @@ def _emitting(rel: Rel, op: A.Summarize, scope: Scope, custom) -> Rel:
     return _finish(out, plan, key_names, None, order, scope)
 
 
-def _null_safe(grid: DataFrame, sums: DataFrame, key_names: list[str]) -> DataFrame:
-    named = sums.select(*[F.col(k).alias(f"{k}_r") for k in key_names], F.col("__e").alias("__e_r"), *[c for c in sums.columns if c not in key_names and c != "__e"])
-    on = F.col("__e") == F.col("__e_r")
+def _null_safe(grid: DataFrame, sums: DataFrame, key_names: list[str], at: str = "__e") -> DataFrame:
+    named = sums.select(*[F.col(k).alias(f"{k}_r") for k in (*key_names, at)], *[c for c in sums.columns if c not in key_names and c != at])
+    on = F.col(at) == F.col(f"{at}_r")
     for k in key_names:
         on &= F.col(k).eqNullSafe(F.col(f"{k}_r"))
-    return grid.join(named, on, "left").drop("__e_r", *[f"{k}_r" for k in key_names])
+    return grid.join(named, on, "left").drop(f"{at}_r", *[f"{k}_r" for k in key_names])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -91,6 +92,22 @@ def _sliding(df, at, sizes, mode, column, name):
     return df.withColumn(column, _fields(at, start, at + 1, "sliding", mode, size=F.lit(size)))
 
 
+def tiles(at: Column, size: float, exact: bool) -> Column:
+    """The tile of a value and, after it, the later ones with windows that may reach back to it. Of two values in a
+    tile, the window of the larger one holds the other: tiles of whole numbers (``exact``) are a window long; those of
+    doubles are a power of two long, so that they are cut without rounding, and values too large to be cut are alone."""
+    if exact:
+        own = F.call_function("div", at, F.lit(size)) - (at % F.lit(size) < 0).cast("long")
+        return F.array(own, own + 1) if size > 1 else F.array(own)
+    reach = size - 1.0
+    if reach <= 0:
+        return F.array(at)
+    wide = math.ldexp(0.5, math.frexp(reach)[1])
+    start = lambda v: F.when(F.abs(v / wide) < 2.0**53, F.floor(v / wide) * F.lit(wide)).otherwise(v)
+    own, last = start(at), start(at + reach + (F.abs(at) + reach) * 2.0**-50)
+    return F.filter(F.array_distinct(F.array(own, *[own + i * wide for i in (1, 2, 3)])), lambda t: t <= last)
+
+
 def session_rows(rel: Rel, v: Column, timeout: float) -> Rel:
     """Rows with their session's number ``__sid``, from 1, and their value ``__v0``. A session ends where the next
     value is more than ``timeout`` later."""

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import time
 
 import pytest
@@ -227,6 +228,55 @@ def test_random_rows_against_folds(spark):
     assert {r["s"]: r["n"] for r in hopping} == want
 
 
+def _reached(rows, r, size):
+    """What the trailing window of ``r`` holds, by looking at every row."""
+    v = r["v"]
+    same = [x for x in rows if x["k"] == r["k"] and x["v"] is not None]
+    if v != v:
+        return [x for x in same if x["v"] != x["v"]]
+    return [x for x in same if v - (size - 1) <= x["v"] <= v]
+
+
+@pytest.mark.parametrize("size", ["1", "7", "1000", "2h", "2.5"])
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_sliding_windows_of_values_against_a_fold(spark, kind, size):
+    """Whole and broken numbers in any order of rows, below zero, alike, far apart, at the ends of the type, not finite, null; keys that may be null."""
+    rng = random.Random(5)
+    near, far = {
+        "long": (lambda: rng.randint(-30, 30), [2**63 - 1, 2**63 - 2, 2**63 - 7, 6 - 2**63, 1 - 2**63, -(2**63), 2**60, 2**60 + 5, 2**60 + 6, 2**60 + 7]),
+        "double": (lambda: rng.choice([rng.uniform(-30, 30), rng.randint(-30, 30) / 2, rng.uniform(-4000, 20000)]), [2.0**53, 2.0**53 + 2, 2.0**54, 2.0**54 + 4, -(2.0**53), 1e30, 1.1e30, 1e308, 1.7e308, -1e308, 1e-320, -0.0, float("inf"), float("-inf"), float("nan"), float("nan")]),
+    }[kind]
+    if "." in size and kind == "long":
+        far = []  # a window that isn't whole makes doubles of whole numbers
+    values = [near() for _ in range(150)] + [x for x in far for _ in "ab"] + [None] * 3
+    rng.shuffle(values)
+    rows = [{"i": i, "k": rng.choice(["a", "a", None]), "v": v, "x": rng.choice([None, 1, 2, 50, -4])} for i, v in enumerate(values)]
+    e = Engine(spark)
+    e.register_stream("s", spark.createDataFrame([tuple(r.values()) for r in rows], f"i long, k string, v {kind}, x long"), ["i"])
+    q = f"s | summarize {{ at: w._id, last: i, lx: x, n: count(), t: sum(x), lo: min(x), hi: max(i) }} by k over w = sliding_window_by({size}, v)"
+    got = [tuple(r)[1:] for r in e.query(q, sort=True).collect()]
+    length = 7200 if size == "2h" else float(size) if "." in size else int(size)
+    want = []
+    for r in rows:
+        if r["v"] is not None:
+            held = _reached(rows, r, length)
+            xs = [h["x"] for h in held if h["x"] is not None]
+            want.append((held[-1]["i"], held[-1]["x"], len(held), sum(xs), min(xs, default=None), held[-1]["i"]))
+    assert got == want
+
+
+def test_sliding_windows_of_values_read_no_frame_again(spark):
+    """A window with very many values costs no more than one with few: no frame starts at a row's own place."""
+    e = Engine(spark)
+    e.register_stream("s", spark.range(30_000).selectExpr("id AS i", "id * 3 AS v"), ["i"])
+    df = e.query("s | summarize { i, n: count(), t: sum(i) } over w = sliding_window_by(30001, v)")
+    frames = re.findall(r"specifiedwindowframe\((\w+, [^,]*),", df._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and all("unboundedpreceding" in f for f in frames)
+    for r in df.collect():
+        first = max(0, r["i"] - 10_000)
+        assert (r["n"], r["t"]) == (r["i"] - first + 1, (first + r["i"]) * (r["i"] - first + 1) // 2)
+
+
 VALUES = [1, -2, 2.5, "1", "-3", " 4 ", "x", "", True, False, None]
 CALLS = [
     "neg(a)", "abs(a)", "exp(a)", "sqrt(a)", "floor(a)", "ceil(a)", "round(a)", "length(a)", "to_upper(a)", "to_lower(a)", "not(a)", "exists(a)",
